@@ -68,6 +68,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             lo = hi
 
 
+_once: dict[str, tuple[str, object]] = {}
+
+
+def once(kind: str, token: str, make):
+    """What make() gives, kept by a worker until the next token of this kind."""
+    if kind not in _once or _once[kind][0] != token:
+        _once.pop(kind, None)
+        _once[kind] = (token, make())
+    return _once[kind][1]
+
+
 #: Odd multiplier of the rolling polynomial hashes, modulo 2 ** 64.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
