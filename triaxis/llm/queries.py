@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc_mod
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,9 +20,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import bpe
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
+    hit = F.col("n_hit")
+    return (
+        found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+        .withColumn("contaminated", decontam.contaminated(hit, F.col("n_words")))
+    )
+
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lang_id
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True))
+    model = lang_id.train(docs.where(~held_out).select("text", "lang"))
+    return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
