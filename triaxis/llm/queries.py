@@ -20,6 +20,50 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of the contract: rules, longest first when they fit alike.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    said = "\\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = chat.format_chats(table(spark, sf_dir, "conversations").select(planted.columns).unionByName(planted))
+    read = chats.withColumn("turns", chat.parse(F.col("formatted"))).withColumn("loss", chat.under_mask())
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        digest(F.col("loss")).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.col("n_escaped").cast("long").alias("n_escaped"),
+    )
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shards
+
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    placed = shards.assign(records)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
