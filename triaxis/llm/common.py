@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for texts of any length."""
+    """Keeps Arrow batches small enough for texts of any length, and sends this package to the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        where = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+        with zipfile.ZipFile(where, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(where))
+        _shipped.add(context.applicationId)
 
 
 def crc_mod(key: str, n: int) -> Column:

@@ -53,8 +53,8 @@ def rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
 def strength(children: DataFrame) -> Column:
     """Method of moments over children (x of n bad, mean m of the parent): an aggregate."""
     n, x, m = F.col("n"), F.col("x"), F.col("m")
-    spread = F.sum((x - n * m) * (x - n * m))
-    least, more = F.sum(n * m * (1 - m)), F.sum(n * (n - 1) * m * (1 - m))
+    spread = F.sum((x / n - m) * (x / n - m))
+    least, more = F.sum(m * (1 - m) / n), F.sum((1 - 1 / n) * m * (1 - m))
     rho = (spread - least) / F.nullif(more, F.lit(0.0))  # correlation of outcomes within a child
     k = 1 / F.nullif(rho, F.lit(0.0)) - 1
     return F.when(more.isNull() | (more <= 0), F.lit(MIN_STRENGTH)).when(rho <= 0, F.lit(MAX_STRENGTH)).otherwise(F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), k)))
