@@ -1,10 +1,10 @@
 """Suffix-array dedup with prefix-free parsing, over a distributed corpus.
 
-Every text is parsed at triggers: places whose rolling hash of `K` bytes is least in some stretch of
-`SPAN` - `K` + 1 such hashes. Triggers depend on content alone and each stretch of SPAN bytes holds one with its
-K bytes, so equal stretches are parsed alike. A phrase ends with a trigger. All suffixes that start in a
+Every text is parsed at triggers: the trigger of a stretch of `SPAN` bytes is the first place in it whose
+rolling hash of `K` bytes is least. It depends on the stretch alone, so equal stretches are parsed alike. A
+phrase is what lies before a trigger from the first stretch that has it. All suffixes that start in a
 phrase differ only in how much of the phrase is left; what follows is the suffix of the parse from the
-trigger on, of which SPAN bytes count here. So corpus order follows from two small orders: that of the
+trigger on, as far as the stretches reach. So corpus order follows from two small orders: that of the
 dictionary (suffixes of phrases, sorted from their ends) and that of the parse (what follows a trigger).
 
 1. Triggers whose K bytes stand once in the corpus can have no repeat before them and are dropped.
@@ -51,30 +51,29 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
     return op(right[:n], left[width - 1 : width - 1 + n])
 
 
-def triggers(data: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each phrase that a whole stretch starts in: the trigger's place, its hash, the first start, the text's number."""
+#: Low bits that hold a place where hashes and places are compared together.
+PLACE = np.uint64((1 << 30) - 1)
+
+
+def triggers(data: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each phrase: its trigger's place and hash, the first and last start of a stretch whose trigger it
+    is, and the text's number."""
     n, width = len(data), span - k + 1
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, none, none
+        return none, none, none, none, none
+    if n > int(PLACE):
+        raise ValueError("a text of more than 2 ** 30 bytes")
     sums = prefix_sums(data)
-    grams = mix((sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1)) | np.uint64(1)
-    size = np.diff(off)
-    starts = np.repeat(off[1:], size)[: n - k + 1]  # the end of each place's text
-    place = np.arange(n - k + 1)
-    grams = np.where(place + k <= starts, grams, np.uint64(2**64 - 1))
-    least = sliding(grams, width, np.minimum, 2**64 - 1)
-    least = np.where(place + span <= starts, least, np.uint64(0))
-    back = sliding(least[::-1], width, np.maximum, 0)[::-1]
-    at = np.flatnonzero((grams == back) & (place + k <= starts))
-    text = np.searchsorted(off, at, "right") - 1
-    first = np.empty(len(at), np.int64)
-    first[1:] = at[:-1] + 1
-    if len(at):
-        first[0] = 0
-    first = np.maximum(first, off[text])
-    whole = first + span <= off[text + 1]
-    return at[whole], grams[at[whole]].view(np.int64), first[whole], text[whole]
+    grams = mix((sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1))
+    least = sliding((grams & ~PLACE) | np.arange(n - k + 1, dtype=np.uint64), width, np.minimum, 2**64 - 1)
+    start = np.flatnonzero(np.arange(n) + span <= np.repeat(off[1:], np.diff(off)))
+    if not len(start):
+        return none, none, none, none, none
+    at = (least[start] & PLACE).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, first, last = at[new], start[new], start[np.append(new[1:], len(start)) - 1]
+    return at, grams[at].view(np.int64), first, last, np.searchsorted(off, first, "right") - 1
 
 
 class Order:
@@ -147,7 +146,7 @@ def find_spans(docs: DataFrame, key: str, text: str, span: int, block: int) -> D
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in chunks(batches, "whole"):
-            at, gram, _, text = triggers(data, off, span, k)
+            at, gram, _, _, text = triggers(data, off, span, k)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array((at - off[text]).astype(np.int32)), pa.array(gram)], names=["place", "at", "gram"])
 
     found = held.where(F.col("size") >= span).select("place", "whole").mapInArrow(parse, "place long, at int, gram long")
@@ -155,7 +154,7 @@ def find_spans(docs: DataFrame, key: str, text: str, span: int, block: int) -> D
     wanted = found.join(shared, "gram").groupBy("place").agg(F.collect_set("at").alias("ats"))
 
     def phrases(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray):
-        at, gram, first, text = triggers(data, off, span, k)
+        at, gram, first, last, text = triggers(data, off, span, k)
         ats = part.column(part.schema.get_field_index("ats"))
         value = ats.values.to_numpy()
         edges = ats.offsets.to_numpy().astype(np.int64)
@@ -166,8 +165,7 @@ def find_spans(docs: DataFrame, key: str, text: str, span: int, block: int) -> D
         if len(asked):
             slot = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
             pick = asked[slot] == mine
-        at, gram, first, text = at[pick], gram[pick], first[pick], text[pick]
-        end = np.minimum(at + span, off[text + 1])
+        at, gram, first, end, text = at[pick], gram[pick], first[pick], last[pick] + span, text[pick]
         raw = data.tobytes()
         cut = [raw[a:b] for a, b in zip(first.tolist(), end.tolist())]
         return gram, first - off[text], text, at - first, cut
