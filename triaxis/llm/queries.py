@@ -62,6 +62,16 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
+    index = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter
 
