@@ -2,8 +2,8 @@
 
 Terms are a word and its first 4 and 6 bytes (A-Z lower-cased; words are digits, letters and all that is not
 ASCII). From a bounded sample of labelled texts, at most `EXAMPLES` of each label and of at most
-`EXAMPLE_BYTES` bytes, the terms are chosen whose presence depends on the label (chi-squared over
-`LEAST_CHI2`, at most `MAX_TERMS`), and the examples become TF-IDF vectors of unit length over them. They stand
+`EXAMPLE_BYTES` bytes and no near copy of another, the terms are chosen whose presence depends on the label
+(chi-squared over `LEAST_CHI2` + 2 ln of their number, at most `MAX_TERMS`), and the examples become TF-IDF vectors of unit length over them. They stand
 in an inverted index whose lists are cut into blocks of `BLOCK` examples with the largest weight of each
 block. For a text, blocks are scored in the order of their upper bounds until no bound reaches the `NEAREST`-th
 best score, which gives the exact nearest examples by cosine. They vote with weight similarity ** 2 times the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .common import LOWER, chunks, once, prefix_sums, small_batches, stretch_has
 from .decontam import IS_WORD
 
 EXAMPLES, EXAMPLE_BYTES = 1500, 16_384
-LEAST_CHI2, MAX_TERMS = 24.0, 1024
-NEAREST, BLOCK, PRIOR, EVIDENCE = 20, 64, 0.5, 3
+LEAST_CHI2, MAX_TERMS = 4.0, 1024
+NEAREST, BLOCK, PRIOR, EVIDENCE, SKETCH = 20, 64, 0.5, 3, 16
 
 
 def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +46,30 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([stretch_hash(sums, lo, hi), stretch_hash(sums, lo, four) ^ np.uint64(4), stretch_hash(sums, lo, six) ^ np.uint64(6)]), np.concatenate([doc, doc, doc])
 
 
+def fresh(texts: list[str]) -> list[int]:
+    """The texts that are no near copy of one before: of the `SKETCH` least term hashes half are new."""
+    data, off = text_buffer(pa.array(texts, pa.large_string()))
+    hashes, doc = terms(data, off)
+    order = np.lexsort((hashes, doc))
+    hashes, cut = hashes[order], np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    holders: dict[int, list[int]] = {}
+    keep = []
+    for i in range(len(texts)):
+        least = np.unique(hashes[cut[i] : cut[i + 1]])[:SKETCH].tolist()
+        met = Counter(h for x in least for h in holders.get(x, ()))
+        if not least or max(met.values(), default=0) * 2 < len(least):
+            keep.append(i)
+            for x in least:
+                holders.setdefault(x, []).append(i)
+    return keep
+
+
 class Index:
     """Labelled examples as unit TF-IDF vectors, with block maxima."""
 
     def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float]) -> None:
+        new = fresh(texts)
+        ids, texts, labels = [ids[i] for i in new], [texts[i] for i in new], labels[new]
         data, off = text_buffer(pa.array(texts, pa.large_string()))
         hashes, doc = terms(data, off)
         n = len(texts)
@@ -63,7 +84,7 @@ class Index:
             chi2 = total * (yes * (total - positive - no) - no * miss) ** 2 / (df * (total - df) * positive * (total - positive))
         chi2 = np.nan_to_num(chi2, posinf=0.0)
         pick = np.sort(np.argsort(-chi2, kind="stable")[:MAX_TERMS])
-        pick = pick[chi2[pick] >= LEAST_CHI2]
+        pick = pick[chi2[pick] >= LEAST_CHI2 + 2 * np.log(max(1, len(term)))]
         self.terms = term[pick]
         self.idf = np.log((1 + total) / (1 + df[pick])) + 1
         vectors = np.zeros((n, len(pick)), np.float64)
