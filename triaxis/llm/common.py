@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import send
+
 #: Text handled at once inside a Python worker, in bytes (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20
 
@@ -30,25 +30,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches small enough for texts of any length, and sends this package to the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        where = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
-        with zipfile.ZipFile(where, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        context.addPyFile(str(where))
-        _shipped.add(context.applicationId)
+    send(spark)
 
 
 def crc_mod(key: str, n: int) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER, chunks, once, prefix_sums, small_batches, stretch_hash, text_buffer, word_spans
 from .decontam import IS_WORD
+from .jaccard import shingle_sets
 
 EXAMPLES, EXAMPLE_BYTES = 1500, 16_384
 LEAST_CHI2, MAX_TERMS = 4.0, 1024
@@ -47,15 +48,14 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fresh(texts: list[str]) -> list[int]:
-    """The texts that are no near copy of one before: of the `SKETCH` least term hashes half are new."""
+    """The texts that are no near copy of one before: of the `SKETCH` least hashes of three words half are new."""
     data, off = text_buffer(pa.array(texts, pa.large_string()))
-    hashes, doc = terms(data, off)
-    order = np.lexsort((hashes, doc))
-    hashes, cut = hashes[order], np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    hashes, size = shingle_sets(data, off, 3)
+    cut = np.concatenate([[0], np.cumsum(size)])
     holders: dict[int, list[int]] = {}
     keep = []
     for i in range(len(texts)):
-        least = np.unique(hashes[cut[i] : cut[i + 1]])[:SKETCH].tolist()
+        least = hashes[cut[i] : min(cut[i] + SKETCH, cut[i + 1])].tolist()
         met = Counter(h for x in least for h in holders.get(x, ()))
         if not least or max(met.values(), default=0) * 2 < len(least):
             keep.append(i)
@@ -96,7 +96,8 @@ class Index:
         self.base = base
         self.blank = float(((weight * labels)[blank].sum() + base) / (weight[blank].sum() + 1)) if n else 0.0
         keep = np.flatnonzero(some)
-        keep = keep[np.lexsort((vectors[keep].argmax(axis=1), labels[keep]))]  # like with like, for tight bounds
+        if len(keep):  # like with like, for tight bounds
+            keep = keep[np.lexsort((vectors[keep].argmax(axis=1), labels[keep]))]
         self.ids = [ids[i] for i in keep]
         self.labels, self.weight = labels[keep].astype(np.float64), weight[keep]
         blocks = -(-len(keep) // BLOCK)
