@@ -19,7 +19,7 @@ FILES = "patient_id string, file_path string, file_ts timestamp_ntz, hour int, d
 
 
 def catalog(spark: SparkSession, data_dir: str) -> DataFrame:
-    """One row a recording file. A missing folder gives no rows; other files are left out."""
+    """One row a recording file. A missing folder gives no rows; other files and files of no bytes are left out."""
     try:
         listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.sensor.*").option("recursiveFileLookup", "true").load(data_dir)
     except Exception as e:
@@ -35,7 +35,7 @@ def catalog(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def patients(spark: SparkSession, data_dir: str) -> DataFrame:
-    """patient_id of every sub-folder that holds any file, recordings or not."""
+    """patient_id of every sub-folder that holds a file of any bytes, recordings or not."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(data_dir)
     return listed.select(F.element_at(F.split("path", "/"), -2).alias("patient_id")).distinct()
 
