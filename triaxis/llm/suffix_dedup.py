@@ -28,15 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import INVERSE, chunks, materialize, mix, powers, prefix_sums, small_batches
+from .common import INVERSE, byte_values, chunks, materialize, mix, powers, prefix_sums, small_batches
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
 BLOCK, SORTED, HELD = 1024, 8192, 20_000
+#: Bytes of text packed together.
+PACKED = 1 << 20
+#: A second hash, for whole phrases: with the trigger's own it makes 128 bits.
+OWN_VALUES, OWN_BASE = byte_values(2), np.uint64(0xC2B2AE3D27D4EB4F)
+OWN_INVERSE = np.uint64(pow(int(OWN_BASE), -1, 1 << 64))
 
 
 def sliding(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -136,87 +142,86 @@ def flat_spans(flags: np.ndarray) -> list[list[int]]:
     return [at[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])]
 
 
-def find_spans(docs: DataFrame, key: str, text: str, span: int, block: int) -> DataFrame:
-    """`docs` as kept, place, size, whole, with spans: the starts and ends of stretches that are repeated."""
-    spark = docs.sparkSession
+def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Packs of texts (pack, kept, offsets, texts), and the repeated runs of each pack (pack, runs)."""
     k = min(K, max(1, span // 3))
     width = span - k + 1
-    whole = F.coalesce(F.col(text), F.lit(""))
-    held = docs.select(F.struct(*docs.columns).alias("kept"), F.xxhash64(key, text).alias("place"), F.octet_length(whole).alias("size"), whole.alias("whole"))
+    held = docs.select(F.struct(*docs.columns).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
+
+    def key_of(data: np.ndarray, off: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(data.tobytes(), seed=len(off)) - (1 << 63)
+
+    def phrases(data: np.ndarray, off: np.ndarray):
+        at, gram, first, last, _ = triggers(data, off, span, k)
+        sums = prefix_sums(data, OWN_VALUES, OWN_BASE)
+        cut = mix((sums[last + span] - sums[first]) * powers(OWN_INVERSE, len(sums))[first] + (at - first).astype(np.uint64))
+        return at, gram, first, last, cut.view(np.int64)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in chunks(batches, "whole"):
-            at, gram, _, _, text = triggers(data, off, span, k)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array((at - off[text]).astype(np.int32)), pa.array(gram)], names=["place", "at", "gram"])
+        for _, data, off in chunks(batches, "whole", PACKED):
+            _, gram, first, _, phrase = phrases(data, off)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key_of(data, off))), pa.array(first.astype(np.int32)), pa.array(gram), pa.array(phrase)], names=["pack", "first", "gram", "phrase"])
 
-    found = held.where(F.col("size") >= span).select("place", "whole").mapInArrow(parse, "place long, at int, gram long")
+    found = held.select("whole").mapInArrow(parse, "pack long, first int, gram long, phrase long")
     shared = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    wanted = found.join(shared, "gram").groupBy("place").agg(F.collect_set("at").alias("ats"))
-
-    def phrases(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray):
-        at, gram, first, last, text = triggers(data, off, span, k)
-        ats = part.column(part.schema.get_field_index("ats"))
-        value = ats.values.to_numpy()
-        edges = ats.offsets.to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(ats)), np.diff(edges))
-        asked = np.sort(owner * (1 << 32) + value[edges[0] : edges[-1]])
-        mine = text * (1 << 32) + at - off[text]
-        pick = np.zeros(len(at), bool)
-        if len(asked):
-            slot = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
-            pick = asked[slot] == mine
-        at, gram, first, end, text = at[pick], gram[pick], first[pick], last[pick] + span, text[pick]
-        raw = data.tobytes()
-        cut = [raw[a:b] for a, b in zip(first.tolist(), end.tolist())]
-        return gram, first - off[text], text, at - first, cut
-
-    def name(cut: bytes, head: int) -> bytes:
-        return xxhash.xxh3_128_digest(cut, seed=head)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in chunks(batches, "whole"):
-            _, first, text, head, cut = phrases(part, data, off)
-            took = pa.array(text)
-            names = pa.array([name(c, h) for c, h in zip(cut, head.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(1).take(took), part.column(2).take(took), pa.array(first.astype(np.int32)), names], names=["place", "size", "first", "phrase"])
+    wanted = materialize(found.join(shared, "gram"))
+    firsts = wanted.groupBy("pack").agg(F.collect_set("first").alias("firsts"))
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for part, data, off in chunks(batches, "whole", PACKED):
+            kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(data, off)]), kept, pa.array([off.tolist()], pa.list_(pa.int64())), pa.array([pack(data.tobytes())], pa.binary())], names=["pack", "kept", "offsets", "texts"])
+
+    kind = T.StructType([T.StructField("pack", T.LongType()), T.StructField("kept", T.ArrayType(docs.schema)), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())])
+    packs = held.mapInArrow(press, kind)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list] = {}
+        seen: dict[tuple[int, int], list] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def out() -> pa.RecordBatch:
-            gram, head, cut, times = zip(*seen.values())
-            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(head, pa.int32()), pa.array(cut, pa.binary()), pa.array(times, pa.int64())], names=["gram", "phrase", "head", "cut", "times"])
-
-        for part, data, off in chunks(batches, "whole"):
-            gram, _, _, head, cut = phrases(part, data, off)
-            for g, h, c in zip(gram.tolist(), head.tolist(), cut):
-                x = seen.setdefault(name(c, h), [g, h, c, 0])
-                x[3] += 1
-            if len(seen) > HELD:
-                yield out()
-                seen.clear()
+            gram, phrase = zip(*seen)
+            head, cut, times = zip(*seen.values())
+            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(phrase, pa.int64()), pa.array(head, pa.int32()), pa.array(cut, pa.binary()), pa.array(times, pa.int64())], names=["gram", "phrase", "head", "cut", "times"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = unpack(batch.column(1)[i].as_py())
+                off = np.array(batch.column(0)[i].as_py(), np.int64)
+                at, gram, first, last, phrase = phrases(np.frombuffer(raw, np.uint8), off)
+                pick = np.flatnonzero(np.isin(first, np.array(batch.column(2)[i].as_py())))
+                for j in pick.tolist():
+                    x = seen.get(name := (int(gram[j]), int(phrase[j])))
+                    if x:
+                        x[2] += 1
+                    else:
+                        seen[name] = [int(at[j] - first[j]), raw[first[j] : last[j] + span], 1]
+                if len(seen) > HELD:
+                    yield out()
+                    seen.clear()
         if seen:
             yield out()
 
-    near = held.join(wanted, "place")
-    entries = near.select("kept", "place", "size", "whole", "ats").mapInArrow(counted, "gram long, phrase binary, head int, cut binary, times long")
+    near = packs.select("pack", "offsets", "texts").join(firsts, "pack").select("offsets", "texts", "firsts")
+    entries = near.mapInArrow(counted, "gram long, phrase long, head int, cut binary, times long")
     heavy = entries.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > block)
     split = entries.join(heavy, "gram", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("phrase"), F.ceil(F.col("c") / block).cast("long")), F.lit(-1).cast("long")))
     dealt = split.select("gram", "part", "phrase", "head", "cut", "times").repartition("gram", "part")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.sort_by([("part", "ascending"), ("gram", "ascending"), ("phrase", "ascending")]).combine_chunks()
-        gram, part = table["gram"].to_numpy(), table["part"].to_numpy()
-        names, head = table["phrase"].to_pylist(), table["head"].to_numpy()
-        times = table["times"].to_numpy()
-        new = np.array([True, *[a != b for a, b in zip(names, names[1:])]])
-        first = np.flatnonzero(new)
-        times = np.add.reduceat(times, first)
-        gram, part, head = gram[first], part[first], head[first]
-        fresh = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])]))
+        table = pa.Table.from_batches(held)
+        gram, part, phrase = (table[c].to_numpy() for c in ("gram", "part", "phrase"))
+        order = np.lexsort((phrase, gram, part))
+        gram, part, phrase = gram[order], part[order], phrase[order]
+        new = lambda *x: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)]))
+        first = new(gram, part, phrase)
+        times = np.add.reduceat(table["times"].to_numpy()[order], first)
+        order, gram, part, phrase = order[first], gram[first], part[first], phrase[first]
+        fresh = new(gram, part)
         ends = np.append(fresh[1:], len(first))
         lo = 0
         while lo < len(fresh):  # whole triggers together, blocks of split triggers alone
@@ -225,62 +230,68 @@ def find_spans(docs: DataFrame, key: str, text: str, span: int, block: int) -> D
                 while hi < len(fresh) and part[fresh[hi]] < 0 and ends[hi] - fresh[lo] <= SORTED:
                     hi += 1
             a, b = int(fresh[lo]), int(ends[hi - 1])
-            yield from solved([names[i] for i in first[a:b]], head[a:b].tolist(), table["cut"].take(pa.array(first[a:b])).to_pylist(), times[a:b], part[a] >= 0)
+            some = table.take(pa.array(order[a:b]))
+            yield from solved(gram[a:b], phrase[a:b], some["head"].to_pylist(), some["cut"].to_pylist(), times[a:b], part[a] >= 0)
             lo = hi
 
-    def solved(names: list[bytes], head: list[int], cuts: list[bytes], times: np.ndarray, open_: bool) -> Iterator[pa.RecordBatch]:
+    def solved(gram: np.ndarray, phrase: np.ndarray, head: list[int], cuts: list[bytes], times: np.ndarray, open_: bool) -> Iterator[pa.RecordBatch]:
         again, number = repeated([c[:h] for c, h in zip(cuts, head)], [c[h:] for c, h in zip(cuts, head)], times, span, width)
         some = np.flatnonzero(again.any(axis=1))
-        spans = flat_spans(again[some])
-        yield batch(len(some), phrase=[names[i] for i in some], spans=spans)
+        yield batch(gram[some], phrase[some], flat_spans(again[some]))
         if open_:
             row, at = np.nonzero(number >= 0)
-            kind = number[row, at]
-            single = ~again[row, at]
-            _, pick = np.unique(kind, return_index=True)  # one of each class
-            row, at, single = row[pick], at[pick], single[pick]
+            _, pick = np.unique(number[row, at], return_index=True)  # one of each class
+            row, at = row[pick], at[pick]
             classes = [xxhash.xxh3_128_digest(cuts[r][a : a + span]) for r, a in zip(row.tolist(), at.tolist())]
-            yield batch(len(row), phrase=[names[r] if s else None for r, s in zip(row.tolist(), single.tolist())], spans=[[a, a + 1] for a in at.tolist()], stretch=classes)
+            yield batch(gram[row], phrase[row], [[a, a + 1] for a in at.tolist()], classes, ~again[row, at])
 
-    def batch(n: int, phrase, spans, stretch=None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(phrase, pa.binary()), pa.array(spans, pa.list_(pa.int32())), pa.array(stretch or [None] * n, pa.binary())], names=["phrase", "spans", "stretch"])
+    def batch(gram, phrase, spans, stretch=None, single=None) -> pa.RecordBatch:
+        n = len(gram)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(phrase), pa.array(spans, pa.list_(pa.int32())), pa.array(stretch or [None] * n, pa.binary()), pa.array(np.zeros(n, bool) if single is None else single)], names=["gram", "phrase", "spans", "stretch", "single"])
 
-    known = materialize(dealt.mapInArrow(sort, "phrase binary, spans array<int>, stretch binary"))
+    known = materialize(dealt.mapInArrow(sort, "gram long, phrase long, spans array<int>, stretch binary, single boolean"))
     across = known.where(F.col("stretch").isNotNull())
     twice = across.groupBy("stretch").agg(F.count("*").alias("c")).where("c > 1").select("stretch")
-    more = across.where(F.col("phrase").isNotNull()).join(twice, "stretch").select("phrase", "spans")
-    starts = known.where(F.col("stretch").isNull()).select("phrase", "spans").unionByName(more)
-    starts = starts.groupBy("phrase").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    back = near.select("kept", "place", "size", "whole", "ats").mapInArrow(places, "place long, size int, first int, phrase binary")
+    more = across.where("single").join(twice, "stretch").select("gram", "phrase", "spans")
+    starts = known.where(F.col("stretch").isNull()).select("gram", "phrase", "spans").unionByName(more)
+    starts = starts.groupBy("gram", "phrase").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     moved = F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, span - 1).otherwise(0))
-    runs = back.join(starts, "phrase").select("place", "size", moved.alias("runs")).groupBy("place", "size").agg(F.flatten(F.collect_set("runs")).alias("runs"))
-    return held.join(runs, ["place", "size"], "left")
+    runs = wanted.join(starts, ["gram", "phrase"]).select("pack", moved.alias("runs")).groupBy("pack").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return packs, runs
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, block: int = BLOCK) -> DataFrame:
-    """Adds removed (first byte, byte after, ... of each maximal run cut out), kept_bytes (binary: what remains) and n_bytes."""
+def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BLOCK, as_text: bool = False) -> DataFrame:
+    """Adds removed (first byte, byte after, ... of each maximal run cut out), kept_bytes (binary: what remains)
+    and n_bytes. as_text: kept_text in place of kept_bytes, without the rests of characters that a cut splits."""
     small_batches(docs.sparkSession)
-    spans = find_spans(docs, key, text, span, block)
+    packs, runs = find_runs(docs, text, span, block)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            removed, kept = [], []
-            for whole, runs in zip(x.column(1).cast(pa.binary()).to_pylist(), x.column(2).to_pylist()):
-                out: list[int] = []
-                if runs:
-                    for a, b in sorted(zip(runs[::2], runs[1::2])):
-                        if out and a <= out[-1]:
-                            out[-1] = max(out[-1], b)
-                        else:
-                            out += [a, b]
-                    edges = [0, *out, len(whole)]
-                    whole = b"".join([whole[a:b] for a, b in zip(edges[::2], edges[1::2])])
-                removed.append(out)
-                kept.append(whole)
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()), x.column(3)], names=["kept", "removed", "kept_bytes", "n_bytes"])
-
-    schema = T.StructType([T.StructField("kept", docs.schema), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", T.LongType())])
-    return spans.select("kept", "whole", "runs", F.col("size").cast("long").alias("n_bytes")).mapInArrow(cut, schema).select("kept.*", "removed", "kept_bytes", "n_bytes")
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw, off, spans = unpack(batch.column(2)[i].as_py()), batch.column(1)[i].as_py(), batch.column(3)[i].as_py() or []
+                depth = np.zeros(len(raw) + 1, np.int32)
+                np.add.at(depth, np.array(spans[::2], np.int64), 1)
+                np.add.at(depth, np.array(spans[1::2], np.int64), -1)
+                gone = np.cumsum(depth[:-1]) > 0
+                data = np.frombuffer(raw, np.uint8)
+                removed, kept = [], []
+                for a, b in zip(off, off[1:]):
+                    if gone[a:b].any():
+                        removed.append(flat_spans(gone[None, a:b])[0])
+                        kept.append(data[a:b][~gone[a:b]].tobytes())
+                    else:
+                        removed.append([])
+                        kept.append(raw[a:b])
+                rows = batch.column(0).slice(i, 1).flatten()
+                rest = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([rows, pa.array(removed, pa.list_(pa.int32())), rest, pa.array(np.diff(off))], names=["kept", *[f.name for f in own]])
+
+    remains = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
+    own = [T.StructField("removed", T.ArrayType(T.IntegerType())), remains, T.StructField("n_bytes", T.LongType())]
+    both = packs.join(runs, "pack", "left").select("kept", "offsets", "texts", "runs")
+    return both.mapInArrow(cut, T.StructType([T.StructField("kept", docs.schema), *own])).select("kept.*", *[f.name for f in own])
 
 
 def brute(texts: list[str | None], span: int = SPAN) -> list[tuple[bytes, list[int]]]:
