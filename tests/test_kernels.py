@@ -92,3 +92,8 @@ def test_time_warp_keeps_the_range(n, seed):
 def test_unknown_window():
     with pytest.raises(ValueError):
         k.window("bartlett", 4)
+
+
+def test_plain_spectrogram():
+    f, t, s = k.spectrogram(SIGNAL)
+    assert s.shape == (129, 14) == (len(f), len(t)) and abs(f[s.mean(axis=1).argmax()] - 2.0) < 0.4
