@@ -8,10 +8,12 @@ intersection over union is 0.8 or more. The join skips by what sets have in comm
    another document too: sets that link share `head_share` of such a head at least (prefix filter with
    overlap). Heads are exchanged as packed blocks per hash range, a shingle once a block.
 2. Index lists hold the first shingles of each remaining set, frequent shingles last. The sets of a list are
-   compared with the list's least set; those that link form classes, so a group of near copies costs one
-   comparison a set and not one a pair.
+   compared with the list's most central set (which has the fewest shingles that no other list entry shares);
+   those that link form classes, so a group of near copies costs one comparison a set and not one a pair. The
+   classes of a list are then compared in the same way, each by its most central set with the largest class.
 3. Only pairs of classes that still meet in a list go on. A list entry is skipped where its position leaves
-   too little of the sets to reach the overlap (position skip) or sizes differ too much. The least sets of
+   too little of the sets to reach the overlap (position skip), sizes differ too much, or the parities of the
+   shingles in 512 cells show that too many differ. The least sets of
    two classes are compared first. Jaccard distance is a metric, so the answers of the members follow from
    those of these similar sets: where the distance exceeds 0.2 plus both radii, no members can link; only
    else are members compared, and all of those that meet in a list are.
@@ -44,6 +46,8 @@ MAX_FREQUENT, FREQUENT, PACKED = 100_000, 48, 1 << 19
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 FLAG = np.uint32(1 << 31)
+#: Cells whose parities bound the overlap of two sets.
+BITS = 512
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -204,12 +208,16 @@ def sorted_sets(docs: DataFrame, chosen: DataFrame, frequent: DataFrame, key: st
                 weight = np.where(often[at] == shingle >> np.uint64(16), times[at], 0)
             order = np.lexsort((shingle, weight, np.repeat(np.arange(len(size)), size)))
             lists = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(shingle[order].view(np.int64)))
+            cell = ((shingle >> np.uint64(7)) % np.uint64(BITS)).astype(np.int64) + np.repeat(np.arange(len(size)), size) * BITS
+            odd = (np.bincount(cell, minlength=len(size) * BITS) & 1).astype(np.uint8)
+            bits = np.packbits(odd, bitorder="little").view("<i8")
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
             same = (part.column(2).to_numpy(zero_copy_only=False) == a) & (part.column(3).to_numpy(zero_copy_only=False) == b) & (size > 0)
-            out = pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), lists], names=["sid", "n", "tokens"])
+            out = pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int32)), lists, parity], names=["sid", "n", "tokens", "bits"])
             yield out.filter(pa.array(same))
 
     texts = chosen.join(docs.select(F.col(key).cast("long").alias("sid"), F.col(text).alias("whole")), "sid").select("sid", "whole", "a", "b")
-    return materialize(texts.mapInArrow(build, "sid long, n int, tokens array<long>").groupBy("sid", "n", F.xxhash64("tokens").alias("h")).agg(F.first("tokens").alias("tokens")).drop("h"))
+    return materialize(texts.mapInArrow(build, "sid long, n int, tokens array<long>, bits array<long>").groupBy("sid", "n", F.xxhash64("tokens").alias("h")).agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).drop("h"))
 
 
 def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -243,42 +251,74 @@ def components(edges: DataFrame) -> DataFrame:
             return e
 
 
+def with_bits(df: DataFrame, bits: DataFrame, key: str, name: str) -> DataFrame:
+    return df.join(bits.select(F.col("sid").alias(key), F.col("bits").alias(name)), key)
+
+
+def may_link(a: str, b: str, na: str, nb: str, percent: int) -> Column:
+    """Whether two sets can reach the overlap by the parities of their shingles in `BITS` cells: cells that differ
+    need a shingle that only one set has."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 + percent) * (F.col(na) + F.col(nb) - apart) >= 2 * percent * (F.col(na) + F.col(nb))
+
+
 def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(sid, label): the least key of the class of every set that links with another."""
     n = F.col("n")
     first = n - F.ceil(n * percent / 100).cast("int") + 1
-    lists = sets.select("sid", "n", F.posexplode(F.slice("tokens", F.lit(1), first)).alias("pos", "token"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    # the sets of a list against its least set
-    least = lists.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("m"), F.count("*").alias("c")).where("c > 1").select("token", F.col("m.sid").alias("y"), F.col("m.n").alias("ny"))
-    stars = lists.join(least, "token").where((F.col("sid") != F.col("y")) & fits(F.col("n"), F.col("ny"))).select(F.col("sid").alias("x"), "y").distinct()
-    found = verify(sets, stars).where(links(percent)).select("x", "y")
+    every = sets.select("sid", "n", first.alias("first"), F.posexplode(F.slice("tokens", F.lit(1), first)).alias("pos", "token"))
+    met = every.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    lists = materialize(every.join(met, "token"))
+    # sets with few shingles of their own stand in the middle of their class
+    odd = materialize(lists.groupBy("sid").agg((F.first("first") - F.count("*")).cast("int").alias("odd"), F.first("n").alias("n")))
+    bits = sets.select("sid", "bits")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return verify(sets, pairs).where(links(percent)).select("x", "y")
+
+    # each list: all its sets against the one most in the middle
+    lists = lists.join(odd.select("sid", "odd"), "sid")
+    middle = lists.groupBy("token").agg(F.min(F.struct("odd", "sid", "n")).alias("m")).select("token", F.col("m.sid").alias("y"), F.col("m.n").alias("ny"))
+    stars = lists.join(middle, "token").where((F.col("sid") != F.col("y")) & fits(F.col("n"), F.col("ny"))).select(F.col("sid").alias("x"), "y").distinct()
+    found = materialize(compared(stars))
     label = components(found).select(F.col("a").alias("sid"), F.col("b").alias("label"))
+    # each list once more: of every class the set most in the middle against that of the largest class
+    named = lists.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    of_class = named.groupBy("token", "label").agg(F.count("*").alias("c"), F.min(F.struct("odd", "sid", "n")).alias("m"))
+    largest = of_class.groupBy("token").agg(F.min(F.struct(-F.col("c"), F.col("m.odd"), F.col("m.sid"), F.col("m.n"))).alias("g"), F.count("*").alias("k")).where("k > 1").select("token", F.col("g.sid").alias("y"), F.col("g.n").alias("ny"))
+    again = of_class.join(largest, "token").where((F.col("m.sid") != F.col("y")) & fits(F.col("m.n"), F.col("ny"))).select(F.col("m.sid").alias("x"), "y").distinct()
+    again = again.join(stars, ["x", "y"], "left_anti")
+    label = components(found.unionByName(compared(again))).select(F.col("a").alias("sid"), F.col("b").alias("label"))
     # classes that still meet in a list
     known = lists.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     known = known.select("token", "label", "sid", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    entry = known.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.count("*").alias("c"))
+    entry = known.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.min("sid").alias("one"), F.count("*").alias("c"))
     several = entry.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    entry = materialize(entry.join(several, "token"))
-    other = entry.select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "lo", "hi", "rest", "c")])
+    members = label.groupBy("label").agg(F.lit(True).alias("many"))
+    entry = entry.join(several, "token").join(members, "label", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    entry = materialize(with_bits(entry, bits, "label", "bits"))
+    other = entry.select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "lo", "hi", "rest", "many", "bits")])
     reach = (100 + percent) * F.least("rest", "rest_") >= percent * (F.col("lo") + F.col("lo_"))
     sizes = (100 * F.col("hi") >= percent * F.col("lo_")) & (100 * F.col("hi_") >= percent * F.col("lo"))
-    meet = entry.join(other, "token").where((F.col("label") < F.col("label_")) & reach & sizes).select(F.col("label").alias("x"), F.col("label_").alias("y")).distinct()
-    compared = materialize(verify(sets, meet).select("x", "y", distance().alias("d"), links(percent).alias("link")))
+    alike = F.col("many") | F.col("many_") | may_link("bits", "bits_", "lo", "lo_", percent)
+    meet = entry.join(other, "token").where((F.col("label") < F.col("label_")) & reach & sizes & alike).select(F.col("label").alias("x"), F.col("label_").alias("y")).distinct()
+    pairs = materialize(verify(sets, meet).select("x", "y", distance().alias("d"), links(percent).alias("link")))
     # how far the members of those classes are from their least sets
-    open_pairs = compared.where(~F.col("link"))
+    open_pairs = pairs.where(~F.col("link"))
     wanted = open_pairs.select(F.col("x").alias("label")).unionByName(open_pairs.select(F.col("y").alias("label"))).distinct()
     spokes = label.join(wanted, "label").select(F.col("sid").alias("x"), F.col("label").alias("y"))
     radius = verify(sets, spokes).groupBy("y").agg(F.max(distance()).alias("r"))
     near = open_pairs.join(radius.select(F.col("y").alias("x"), F.col("r").alias("rx")), "x", "left").join(radius.select("y", F.col("r").alias("ry")), "y", "left")
     rx, ry = F.coalesce("rx", F.lit(0.0)), F.coalesce("ry", F.lit(0.0))
     near = near.where((rx + ry > 0) & (F.col("d") <= 1 - percent / 100 + rx + ry + 1e-9)).select(F.col("x").alias("label"), F.col("y").alias("label_"))
-    one = known.join(near, "label")
-    two = known.select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "sid", "n", "rest")])
+    one = with_bits(known.join(near, "label"), bits, "sid", "bits")
+    touched = near.select("label").unionByName(near.select(F.col("label_").alias("label"))).distinct()
+    two = with_bits(known.join(touched, "label", "left_semi"), bits, "sid", "bits").select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "sid", "n", "rest", "bits")])
     reach = (100 + percent) * F.least("rest", "rest_") >= percent * (F.col("n") + F.col("n_"))
-    pairs = one.join(two, ["token", "label_"]).where(reach & fits(F.col("n"), F.col("n_"))).select(F.col("sid").alias("x"), F.col("sid_").alias("y"), "label", "label_").distinct()
-    more = verify(sets, pairs.select("x", "y")).where(links(percent)).select("x", "y").join(pairs, ["x", "y"]).select(F.col("label").alias("x"), F.col("label_").alias("y"))
-    joined = components(compared.where("link").select("x", "y").unionByName(more)).select(F.col("a").alias("label"), F.col("b").alias("top"))
+    more = one.join(two, ["token", "label_"]).where(reach & fits(F.col("n"), F.col("n_")) & may_link("bits", "bits_", "n", "n_", percent)).select(F.col("sid").alias("x"), F.col("sid_").alias("y"), "label", "label_").distinct()
+    more = compared(more.select("x", "y")).join(more, ["x", "y"]).select(F.col("label").alias("x"), F.col("label_").alias("y"))
+    joined = components(pairs.where("link").select("x", "y").unionByName(more)).select(F.col("a").alias("label"), F.col("b").alias("top"))
     alone = joined.select(F.col("label").alias("sid"), F.col("label"), "top").join(label, "sid", "left_anti")
     return label.join(joined, "label", "left").select("sid", F.coalesce("top", "label").alias("label")).unionByName(alone.select("sid", F.col("top").alias("label")))
 
