@@ -51,13 +51,13 @@ def file_starts(files: DataFrame) -> DataFrame:
 def draws(spark: SparkSession, weighted: DataFrame, n: int, seed: int = 0, epoch: int = 0, replace: bool = True) -> DataFrame:
     """draw_id, patient_id, file_ts, start_offset. weighted: files with n_rows and w. The file is drawn by weight
     (evenly, if all are 0), the offset evenly over its rows. Patients without rows are left out."""
-    full = weighted.join(weighted.groupBy("patient_id").agg(F.sum("n_rows").alias("rows")).where("rows > 0").select("patient_id"), "patient_id", "left_semi")
+    group = Window.partitionBy("patient_id")
+    full = weighted.withColumn("rows", F.sum("n_rows").over(group)).where("rows > 0").drop("rows")
     p = patient_probability(full)
     if replace:
         chosen = draw_patients(spark, p, n, seed, epoch)
     else:
         chosen = draw_patients_once(p, n, seed, epoch).select(F.col("rank").cast("bigint").alias("draw_id"), "patient_id")
-    group = Window.partitionBy("patient_id")
     total = F.sum("w").over(group)
     share = F.when(total > 0, F.col("w") / F.nullif(total, F.lit(0e0))).otherwise(1e0 / F.count("*").over(group))
     shared = file_starts(full).withColumn("share", share)
