@@ -163,7 +163,8 @@ def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFr
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key_of(data, off))), pa.array(first.astype(np.int32)), pa.array(gram), pa.array(phrase)], names=["pack", "first", "gram", "phrase"])
 
     found = held.select("whole").mapInArrow(parse, "pack long, first int, gram long, phrase long")
-    shared = found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # tables of their own, so that a hot trigger or phrase is dealt out anew when it is joined
+    shared = materialize(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
     wanted = materialize(found.join(shared, "gram"))
     firsts = wanted.groupBy("pack").agg(F.collect_set("first").alias("firsts"))
 
@@ -254,7 +255,7 @@ def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFr
     twice = across.groupBy("stretch").agg(F.count("*").alias("c")).where("c > 1").select("stretch")
     more = across.where("single").join(twice, "stretch").select("gram", "phrase", "spans")
     starts = known.where(F.col("stretch").isNull()).select("gram", "phrase", "spans").unionByName(more)
-    starts = starts.groupBy("gram", "phrase").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    starts = materialize(starts.groupBy("gram", "phrase").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     moved = F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, span - 1).otherwise(0))
     runs = wanted.join(starts, ["gram", "phrase"]).select("pack", moved.alias("runs")).groupBy("pack").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return packs, runs
