@@ -2,8 +2,8 @@
 
 Texts are split into words, every distinct word is encoded once, and its ids go back to the places where
 the word stands. The most frequent words (at most `hot_words` of at most `HOT_BYTES` bytes each, so a
-bounded table) travel to the workers as a broadcast; all other words of a text are joined to it by key,
-so the vocabulary may grow without bound. Decoding looks ids up in the table of the vocabulary's pieces.
+bounded table) travel to the workers as a broadcast; all other words are joined to the packs of texts they
+stand in, so the vocabulary may grow without bound. Decoding looks ids up in the table of the vocabulary's pieces.
 
 Null text: no ids. Empty text: no ids. Repeated rows and repeated or null keys: each row has its result.
 Further columns of any name are passed through. An empty table gives an empty table.
@@ -19,18 +19,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, once, small_batches
+from .common import chunks, materialize, once, small_batches
 
 #: Words encoded through the broadcast table at most, and the length of the longest of them.
-HOT_WORDS = 262_144
+HOT_WORDS = 327_680
 HOT_BYTES = 64
+#: Bytes of text packed together.
+PACKED = 1 << 20
 #: Distinct words that a worker counts before it hands them on.
-COUNTED = 200_000
+COUNTED = 300_000
 
 class Splitter:
     """Splits a text into the words that the tokenizer of `config` (its JSON) encodes one by one."""
@@ -131,43 +134,49 @@ def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         return once("bpe words", token, lambda: dict(zip(*hot.value)))
 
     keep = [c for c in docs.columns if c != text]
-    own = docs.select(F.struct(*keep).alias("kept"), F.xxhash64(key, text).alias("place"), F.coalesce(text, F.lit("")).alias("whole"))
+    own = docs.select(F.struct(*keep).alias("kept"), F.coalesce(text, F.lit("")).alias("whole"))
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[int], bytes]]:
+        """Texts packed some hundred together, under a key made of their bytes."""
+        for part, data, off in chunks(batches, "whole", PACKED):
+            raw = data.tobytes()
+            yield xxhash.xxh3_64_intdigest(raw, seed=part.num_rows) - (1 << 63), part, off.tolist(), raw
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, table = Splitter.of(config.value).words, known()
-        for batch in batches:
-            places, words = [], []
-            for place, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = set(split(t)).difference(table)
-                places += [place] * len(more)
-                words += more
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(words, pa.string())], names=["place", "word"])
+        for pack, part, _, _ in packs(batches):
+            words: set[str] = set()
+            for t in part.column(1).to_pylist():
+                words.update(split(t))
+            more = list(words.difference(table))
+            yield pa.RecordBatch.from_arrays([pa.array([pack] * len(more), pa.int64()), pa.array(more, pa.string())], names=["pack", "word"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            whole = pa.array([press(t) for t in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole], names=["kept", "place", "whole"])
+        press = zstandard.ZstdCompressor(level=6).compress
+        for pack, part, off, raw in packs(batches):
+            kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), kept, pa.array([off], pa.list_(pa.int64())), pa.array([press(raw)], pa.binary())], names=["pack", "kept", "offsets", "texts"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table, unpack = Splitter.of(config.value).words, known(), zstandard.ZstdDecompressor().decompress
+        split, get, unpack = Splitter.of(config.value).words, known().get, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for whole, words, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                words_here = split(unpack(whole).decode())
-                if words:
-                    more = dict(zip(words, found))
-                    out.append(b"".join([table[w] if w in table else more[w] for w in words_here]))
-                else:
-                    out.append(b"".join([table[w] for w in words_here]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["kept", "ids"])
-
-    kind = T.StructType([T.StructField("kept", own.schema["kept"].dataType)])
-    rare = own.select("place", "whole").mapInArrow(rest, "place long, word string").join(table.select("word", "ids"), "word")
-    by_place = rare.groupBy("place").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
-    held = own.mapInArrow(packed, T.StructType([*kind, T.StructField("place", T.LongType()), T.StructField("whole", T.BinaryType())]))
-    both = held.join(by_place, "place", "left").select("kept", "place", "whole", F.col("more.word").alias("words"), F.col("more.ids").alias("found"))
-    return both.mapInArrow(ids, T.StructType([*kind, T.StructField("ids", T.BinaryType())])).select("kept.*", "ids")
+            for i in range(batch.num_rows):
+                off, texts, words, found = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
+                more = dict(zip(words or [], found or []))
+                raw = unpack(texts)
+                out = []
+                for a, b in zip(off, off[1:]):
+                    words_here = split(raw[a:b].decode())
+                    out.append(b"".join([get(w) or more.get(w, b"") for w in words_here] if more else map(get, words_here)))
+                kept = batch.column(0).slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([kept], names=["kept"]).field(0), pa.array(out, pa.binary())], names=["kept", "ids"])
+
+    kind = own.schema["kept"]
+    rare = own.mapInArrow(rest, "pack long, word string").join(table.select("word", "ids"), "word")
+    by_pack = rare.groupBy("pack").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
+    held = own.mapInArrow(packed, T.StructType([T.StructField("pack", T.LongType()), T.StructField("kept", T.ArrayType(kind.dataType)), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())]))
+    both = held.join(by_pack, "pack", "left").select("kept", "offsets", "texts", F.col("more.word").alias("words"), F.col("more.ids").alias("found"))
+    return both.mapInArrow(ids, T.StructType([kind, T.StructField("ids", T.BinaryType())])).select("kept.*", "ids")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
