@@ -107,6 +107,8 @@ def oracle_sql() -> dict[str, str]:
         "offset_asof_file": f"WITH {DRAWS} SELECT draw_id, d.patient_id, start_offset, fl.file_ts AS found_ts, CAST(start_offset - cum_len AS BIGINT) AS row_idx FROM d ASOF JOIN fl ON d.patient_id = fl.patient_id AND d.start_offset >= fl.cum_len",
         "extract_sequence_padded": f"WITH {cut(length)} SELECT draw_id, pos, ts, {OUT} FROM seq",
         "extract_sequence_downsampled": f"WITH {cut(raw)}, j AS (SELECT range AS j FROM range({length})) SELECT a.draw_id, CAST(j AS INTEGER) AS pos, {mid} FROM j JOIN seq a ON a.pos = floor({step}) JOIN seq b ON b.draw_id = a.draw_id AND b.pos = least(floor({step}) + 1, {raw - 1})",
+        "extract_file_sequence": f"WITH {DRAWS}, o AS (SELECT draw_id, d.patient_id, fl.file_ts, start_offset - cum_len AS place, n_rows, least(4, n_rows - (start_offset - cum_len)) AS n FROM d ASOF JOIN fl ON d.patient_id = fl.patient_id AND d.start_offset >= fl.cum_len), t AS (SELECT *, row_number() OVER (PARTITION BY patient_id, file_ts ORDER BY ts) - 1 AS g FROM s), grid AS (SELECT *, unnest(range(4)) AS pos FROM o) SELECT draw_id, CAST(pos AS INTEGER) AS pos, epoch_us(t.ts) AS ts, {', '.join(f'round(CASE WHEN pos < 4 - n THEN 0e0 ELSE {c} END, 6) AS {c}' for c in 'xyz')} FROM grid JOIN t ON t.patient_id = grid.patient_id AND t.file_ts = grid.file_ts AND g = place + greatest(pos - (4 - n), 0)",
+        "live_statistics": f"WITH {S}, m AS (SELECT patient_id, time_bucket(INTERVAL 2 HOUR, ts) AS window_start, sqrt(x * x + y * y + z * z) AS m FROM s) SELECT patient_id, window_start, window_start + INTERVAL 2 HOUR AS window_end, count(*) AS n, round(avg(m), 6) AS mean_magnitude, round(stddev_pop(m), 6) AS std_magnitude FROM m GROUP BY 1, 2",
         "batch_collate": f"WITH {DRAWS} SELECT draw_id // {q.BATCH} AS batch_id, CAST(draw_id % {q.BATCH} AS INTEGER) AS slot, draw_id, patient_id FROM d WHERE draw_id // {q.BATCH} < {q.N_DRAWS // q.BATCH}",
         "batch_loss": f"WITH {cut(length)} SELECT draw_id // {q.BATCH} AS batch_id, round(sum(x * x + y * y + z * z) / (3 * count(*)), 6) AS loss FROM seq WHERE draw_id // {q.BATCH} < {q.N_DRAWS // q.BATCH} GROUP BY 1",
         "window_stats_combined": f"WITH {S} {stats(7200)}",

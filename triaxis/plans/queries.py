@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, kernels, signal
 from ..operators import augment, sampling, sequences, spectral, weights, windows
 from ..sources import fixtures
+from ..streaming import live
 
 #: Parameters shared with the SQL of the same names.
 SEED, N_DRAWS, N_ONCE, LENGTH, RATIO, FILE_RATIO, BATCH = 7, 500, 40, 16, 2.0, 2.0, 32
@@ -111,6 +112,20 @@ def extract_sequence_downsampled(spark, d):
     return rounded(sequences.long_form(some, "draw_id").drop("ts"), "x", "y", "z")
 
 
+def extract_file_sequence(spark, d):
+    """Within single files, filled with 0."""
+    path = lambda ts: F.concat_ws("|", F.col("patient_id").cast("string"), F.date_format(ts, "yyyy-MM-dd HH"))
+    rows = fixtures.samples(spark, d).withColumn("file_path", path("file_ts"))
+    rows = rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("file_path").orderBy("ts")).cast("bigint") - 1)
+    asked = offset_asof_file(spark, d).select("draw_id", "patient_id", path("found_ts").alias("file_path"), F.col("row_idx").alias("start_offset"))
+    return rounded(sequences.long_form(sequences.extract_from_file(asked, rows, 4), "draw_id"), "x", "y", "z")
+
+
+def live_statistics(spark, d):
+    """The statistics that the stream gives, over the whole table."""
+    return rounded(live.live_statistics(fixtures.samples(spark, d)), "mean_magnitude", "std_magnitude")
+
+
 def batch_collate(spark, d):
     b = sequences.batches(padded(spark, d), BATCH, N_DRAWS)
     return b.select("batch_id", F.posexplode("draw_ids").alias("slot", "draw_id"), "patient_ids").select("batch_id", "slot", "draw_id", F.get("patient_ids", F.col("slot")).alias("patient_id"))
