@@ -11,12 +11,12 @@ intersection over union is 0.8 or more. The join skips by what sets have in comm
    compared with the list's most central set (which has the fewest shingles that no other list entry shares);
    those that link form classes, so a group of near copies costs one comparison a set and not one a pair. The
    classes of a list are then compared in the same way, each by its most central set with the largest class.
-3. Only pairs of classes that still meet in a list go on. A list entry is skipped where its position leaves
+3. Only pairs of classes that still meet in a list go on, by their central sets. An entry is skipped where it leaves
    too little of the sets to reach the overlap (position skip), sizes differ too much, or the parities of the
-   shingles in 512 cells show that too many differ. The least sets of
-   two classes are compared first. Jaccard distance is a metric, so the answers of the members follow from
-   those of these similar sets: where the distance exceeds 0.2 plus both radii, no members can link; only
-   else are members compared, and all of those that meet in a list are.
+   shingles in 512 cells show that too many differ. Jaccard distance is a metric, so the answers of members
+   follow from those of the similar central sets: where these are further apart than 0.2 plus both radii, no
+   members can link. Else members are compared with the other class's central set, which links the classes
+   or rules members out, and only what is left over is compared member by member.
 
 Every pair that can link is compared by whole sets or excluded by a bound, so no link is lost. The list of
 frequent shingles (at most `MAX_FREQUENT`) only orders shingles; any order gives the same links.
@@ -282,45 +282,57 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     middle = lists.groupBy("token").agg(F.min(F.struct("odd", "sid", "n")).alias("m")).select("token", F.col("m.sid").alias("y"), F.col("m.n").alias("ny"))
     stars = lists.join(middle, "token").where((F.col("sid") != F.col("y")) & fits(F.col("n"), F.col("ny"))).select(F.col("sid").alias("x"), "y").distinct()
     found = materialize(compared(stars))
-    label = components(found).select(F.col("a").alias("sid"), F.col("b").alias("label"))
+    near_label = found.groupBy(F.col("x").alias("sid")).agg(F.min("y").alias("label"))  # one step is enough here
     # each list once more: of every class the set most in the middle against that of the largest class
-    named = lists.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    of_class = named.groupBy("token", "label").agg(F.count("*").alias("c"), F.min(F.struct("odd", "sid", "n")).alias("m"))
+    named = lists.join(near_label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    of_class = materialize(named.groupBy("token", "label").agg(F.count("*").alias("c"), F.min(F.struct("odd", "sid", "n")).alias("m")))
     largest = of_class.groupBy("token").agg(F.min(F.struct(-F.col("c"), F.col("m.odd"), F.col("m.sid"), F.col("m.n"))).alias("g"), F.count("*").alias("k")).where("k > 1").select("token", F.col("g.sid").alias("y"), F.col("g.n").alias("ny"))
     again = of_class.join(largest, "token").where((F.col("m.sid") != F.col("y")) & fits(F.col("m.n"), F.col("ny"))).select(F.col("m.sid").alias("x"), "y").distinct()
-    again = again.join(stars, ["x", "y"], "left_anti")
     label = components(found.unionByName(compared(again))).select(F.col("a").alias("sid"), F.col("b").alias("label"))
+    # a class goes by its most central set
+    placed = odd.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    center = placed.groupBy("label").agg(F.min(F.struct("odd", "sid"))["sid"].alias("cls"), (F.count("*") > 1).alias("many"))
+    placed = materialize(placed.join(center, "label").select("sid", "cls", "many"))
     # classes that still meet in a list
-    known = lists.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    known = known.select("token", "label", "sid", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    entry = known.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.min("sid").alias("one"), F.count("*").alias("c"))
+    known = materialize(lists.join(placed, "sid").select("token", "cls", "many", "sid", "n", (F.col("n") - F.col("pos")).alias("rest")))
+    entry = known.groupBy("token", "cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.first("many").alias("many"))
     several = entry.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    members = label.groupBy("label").agg(F.lit(True).alias("many"))
-    entry = entry.join(several, "token").join(members, "label", "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    entry = materialize(with_bits(entry, bits, "label", "bits"))
-    other = entry.select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "lo", "hi", "rest", "many", "bits")])
+    entry = materialize(with_bits(entry.join(several, "token"), bits, "cls", "bits"))
+    other = entry.select("token", *[F.col(c).alias(f"{c}_") for c in ("cls", "lo", "hi", "rest", "many", "bits")])
     reach = (100 + percent) * F.least("rest", "rest_") >= percent * (F.col("lo") + F.col("lo_"))
     sizes = (100 * F.col("hi") >= percent * F.col("lo_")) & (100 * F.col("hi_") >= percent * F.col("lo"))
     alike = F.col("many") | F.col("many_") | may_link("bits", "bits_", "lo", "lo_", percent)
-    meet = entry.join(other, "token").where((F.col("label") < F.col("label_")) & reach & sizes & alike).select(F.col("label").alias("x"), F.col("label_").alias("y")).distinct()
-    pairs = materialize(verify(sets, meet).select("x", "y", distance().alias("d"), links(percent).alias("link")))
-    # how far the members of those classes are from their least sets
+    meet = materialize(entry.join(other, "token").where((F.col("cls") < F.col("cls_")) & reach & sizes & alike).select("token", "cls", "cls_"))
+    pairs = materialize(verify(sets, meet.select(F.col("cls").alias("x"), F.col("cls_").alias("y")).distinct()).select(F.col("x").alias("cls"), F.col("y").alias("cls_"), distance().alias("d"), links(percent).alias("link")))
+    # how far the members of those classes are from their central sets; a class of one set has no radius
     open_pairs = pairs.where(~F.col("link"))
-    wanted = open_pairs.select(F.col("x").alias("label")).unionByName(open_pairs.select(F.col("y").alias("label"))).distinct()
-    spokes = label.join(wanted, "label").select(F.col("sid").alias("x"), F.col("label").alias("y"))
-    radius = verify(sets, spokes).groupBy("y").agg(F.max(distance()).alias("r"))
-    near = open_pairs.join(radius.select(F.col("y").alias("x"), F.col("r").alias("rx")), "x", "left").join(radius.select("y", F.col("r").alias("ry")), "y", "left")
-    rx, ry = F.coalesce("rx", F.lit(0.0)), F.coalesce("ry", F.lit(0.0))
-    near = near.where((rx + ry > 0) & (F.col("d") <= 1 - percent / 100 + rx + ry + 1e-9)).select(F.col("x").alias("label"), F.col("y").alias("label_"))
-    one = with_bits(known.join(near, "label"), bits, "sid", "bits")
-    touched = near.select("label").unionByName(near.select(F.col("label_").alias("label"))).distinct()
-    two = with_bits(known.join(touched, "label", "left_semi"), bits, "sid", "bits").select("token", *[F.col(c).alias(f"{c}_") for c in ("label", "sid", "n", "rest", "bits")])
+    wanted = open_pairs.select("cls").unionByName(open_pairs.select(F.col("cls_").alias("cls"))).distinct()
+    spokes = placed.where("many and sid <> cls").join(wanted, "cls").select(F.col("sid").alias("x"), F.col("cls").alias("y"))
+    radius = materialize(verify(sets, spokes).groupBy("y").agg(F.max(distance()).alias("r")))
+    near = open_pairs.join(radius.select(F.col("y").alias("cls"), F.col("r").alias("r")), "cls", "left").join(radius.select(F.col("y").alias("cls_"), F.col("r").alias("r_")), "cls_", "left").na.fill(0.0, ["r", "r_"])
+    far = 1 - percent / 100 + 1e-9
+    near = materialize(near.where((F.col("r") + F.col("r_") > 0) & (F.col("d") <= far + F.col("r") + F.col("r_"))).select("cls", "cls_", "r", "r_"))
+    # their members against the central set of the other class: a link, or a distance that rules its members out
+    shared = meet.join(near, ["cls", "cls_"])
+    shared = shared.select("token", "cls", "cls_", "r_").unionByName(shared.select("token", F.col("cls_").alias("cls"), F.col("cls").alias("cls_"), F.col("r").alias("r_")))
+    sides = materialize(shared.join(known.select("token", "cls", "sid"), ["token", "cls"]).select("sid", "cls", "cls_", "r_").distinct())
+    reached = verify(sets, sides.select(F.col("sid").alias("x"), F.col("cls_").alias("y")).distinct()).select(F.col("x").alias("sid"), F.col("y").alias("cls_"), distance().alias("d"), links(percent).alias("link"))
+    sides = materialize(sides.join(reached, ["sid", "cls_"]).where(F.col("d") <= far + F.col("r_")).select("sid", "cls", "cls_", "link"))
+    direct = sides.where("link").select("cls", "cls_").distinct()
+    ordered = direct.select(F.least("cls", "cls_").alias("cls"), F.greatest("cls", "cls_").alias("cls_")).distinct()
+    # what is left: members against members
+    open_sides = sides.join(ordered.unionByName(ordered.select(F.col("cls_").alias("cls"), F.col("cls").alias("cls_"))), ["cls", "cls_"], "left_anti")
+    rows = open_sides.join(known.select("token", "sid", "n", "rest"), "sid")
+    left = rows.where("cls < cls_").select("token", "cls", "cls_", F.col("sid").alias("x"), "n", "rest")
+    right = rows.where("cls > cls_").select("token", F.col("cls_").alias("cls"), F.col("cls").alias("cls_"), F.col("sid").alias("y"), F.col("n").alias("n_"), F.col("rest").alias("rest_"))
     reach = (100 + percent) * F.least("rest", "rest_") >= percent * (F.col("n") + F.col("n_"))
-    more = one.join(two, ["token", "label_"]).where(reach & fits(F.col("n"), F.col("n_")) & may_link("bits", "bits_", "n", "n_", percent)).select(F.col("sid").alias("x"), F.col("sid_").alias("y"), "label", "label_").distinct()
-    more = compared(more.select("x", "y")).join(more, ["x", "y"]).select(F.col("label").alias("x"), F.col("label_").alias("y"))
-    joined = components(pairs.where("link").select("x", "y").unionByName(more)).select(F.col("a").alias("label"), F.col("b").alias("top"))
-    alone = joined.select(F.col("label").alias("sid"), F.col("label"), "top").join(label, "sid", "left_anti")
-    return label.join(joined, "label", "left").select("sid", F.coalesce("top", "label").alias("label")).unionByName(alone.select("sid", F.col("top").alias("label")))
+    more = materialize(left.join(right, ["token", "cls", "cls_"]).where(reach & fits(F.col("n"), F.col("n_"))).select("x", "y", "cls", "cls_").distinct())
+    linked = compared(more.select("x", "y")).join(more, ["x", "y"]).select("cls", "cls_")
+    edges = pairs.where("link").select("cls", "cls_").unionByName(ordered).unionByName(linked)
+    joined = components(edges.select(F.col("cls").alias("x"), F.col("cls_").alias("y"))).select(F.col("a").alias("cls"), F.col("b").alias("top"))
+    final = materialize(placed.join(joined, "cls", "left").select("sid", F.coalesce("top", "cls").alias("top")))
+    least = final.groupBy("top").agg(F.min("sid").alias("label"), F.count("*").alias("k")).where("k > 1").select("top", "label")
+    return final.join(least, "top").select("sid", "label")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
