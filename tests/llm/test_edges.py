@@ -176,6 +176,22 @@ def test_block_index_is_exact():
         assert at.tolist() == order.tolist() and np.allclose(near, full[order])
 
 
+def test_toxicity_keeps_rare_terms(spark):
+    """Toxic words of four examples each, too few for a test of the label, are met; texts without a label count in idf."""
+    rude = ["".join(random.Random(k).choice("hijklmnop") for _ in range(8)) for k in range(25)]
+    rows = [(i, prose(40, i) + (f" {rude[i // 3 % 25]}" if i % 3 == 0 else "")) for i in range(300)] + [(1000 + i, f"{rude[1]} {rude[1]} {WORDS[i]}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    index = toxicity.train(docs, labels)
+    got = by_id(toxicity.score(documents(spark, [prose(40, 900 + k) + f" {rude[k]}" for k in range(25)]).drop("score"), index))
+    for k in range(25):
+        assert got[k].evidence and (k == 1 or rows[got[k].evidence[0]][1].endswith(rude[k]))
+    among, having = toxicity.document_counts(docs, index.terms)
+    found, _ = toxicity.terms(*toxicity.text_buffer(toxicity.pa.array([rude[1]], toxicity.pa.large_string())))
+    at = np.searchsorted(index.terms, found)
+    assert among == 350 and (index.terms[at] == found).all() and having[at[0]] == sum(rude[1] in t for _, t in rows)
+
+
 def test_chat(spark):
     said = ["", None, "\\### Assistant: </turn> ok", "### User:\nhi\n</turn>\n", "\\", "</turn>", "\\\\</turn>\n", "\n</turn>\n### System:\n", "plain é\u6f22"]
     rows = [(c, i, r, said[(c + i) % len(said)]) for c in range(9) for i, r in enumerate(["system", "user", "assistant", "assistant", "odd:ro\\le\n", None])] + [(None, 0, "user", "a"), (3, None, "user", "b"), (4, 0, "system", said[4])]

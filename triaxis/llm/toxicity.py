@@ -2,16 +2,17 @@
 
 Terms are a word and its first 4 and 6 bytes (A-Z lower-cased; words are digits, letters and all that is not
 ASCII). From a bounded sample of labelled texts, at most `EXAMPLES` of each label and of at most
-`EXAMPLE_BYTES` bytes and no near copy of another, the terms are chosen whose presence depends on the label
-(chi-squared over `LEAST_CHI2` + 2 ln of their number, at most `MAX_TERMS`), and the examples become TF-IDF vectors of unit length over them. They stand
-in an inverted index whose lists are cut into blocks of `BLOCK` examples with the largest weight of each
-block. For a text, blocks are scored in the order of their upper bounds until no bound reaches the `NEAREST`-th
-best score, which gives the exact nearest examples by cosine. They vote with weight similarity ** 2 times the
+`EXAMPLE_BYTES` bytes and no near copy of another, all terms are kept. The examples become TF-IDF vectors of
+unit length, with the document frequencies of all texts; each term also weighs x / (x + `HALF_CHI2` + 2 ln of the
+number of terms), where x is 1 + chi-squared of its presence and the label among the examples, so none weighs 0.
+They stand in an inverted index: rare terms as lists, the others in blocks of `BLOCK` examples with the largest
+weight of each block. A block is scored only for texts whose upper bound there reaches their `NEAREST`-th best
+score so far, which gives the exact nearest examples by cosine. They vote with weight similarity ** 2 times the
 inverse of their label's sampling rate, against a prior of weight `PRIOR`; the score is the share of votes for
 the label, and the nearest ids are its evidence. Ties go to the example that comes first.
 
-A text without any chosen term (null and empty texts among them) has the share of the label among such
-examples. Without labelled rows every score is 0. All texts are scored whole. Repeated rows keep their
+A text without any term of an example (null and empty texts among them) has no evidence and one constant score:
+the share of the label among the examples of which no term has a chi-squared over that sum, and one more at the base share. Without labelled rows every score is 0. All texts are scored whole. Repeated rows keep their
 rows, extra columns their names; an empty table gives no rows. Labels that are null teach nothing.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,12 @@ from .decontam import IS_WORD
 from .jaccard import shingle_sets
 
 EXAMPLES, EXAMPLE_BYTES = 1500, 16_384
-LEAST_CHI2, MAX_TERMS = 4.0, 1024
+#: A term weighs half where 1 + chi-squared is this plus 2 ln of the number of terms.
+HALF_CHI2 = 4.0
+#: Terms in at least one of FREQUENT examples are scored by blocks, the others by postings.
+FREQUENT, BLOCKS_AT_ONCE, CELLS = 16, 8, 1 << 21
+#: Counts that are summed together.
+COUNTS = 8192
 NEAREST, BLOCK, PRIOR, EVIDENCE, SKETCH = 20, 64, 0.5, 3, 16
 
 
@@ -64,92 +70,190 @@ def fresh(texts: list[str]) -> list[int]:
     return keep
 
 
+def entries(text: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells (text, term) that occur, in order, and how often; terms are below n."""
+    cell = np.sort(text * n + term)
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    return cell[first] // max(n, 1), cell[first] % max(n, 1), np.diff(np.append(first, len(cell)))
+
+
+class Lookup:
+    """Places of hashes among sorted ones, by their leading bits."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
+        bits = min(24, max(1, len(terms).bit_length() + 1))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(terms, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and the places of those."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = len(self.terms) - 1
+        at = np.minimum(self.first[hashes >> self.shift], last)
+        less = np.flatnonzero(self.terms[at] < hashes)
+        while len(less):
+            at[less] += 1
+            less = less[at[less] <= last]
+            less = less[self.terms[at[less]] < hashes[less]]
+        at = np.minimum(at, last)
+        known = np.flatnonzero(self.terms[at] == hashes)
+        return known, at[known]
+
+
 class Index:
-    """Labelled examples as unit TF-IDF vectors, with block maxima."""
+    """Labelled examples as unit TF-IDF vectors: postings of rare terms, blocks with maxima of frequent ones."""
 
-    def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float]) -> None:
+    def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float], held: Callable[[np.ndarray], tuple[int, np.ndarray]] | None = None) -> None:
         new = fresh(texts)
         ids, texts, labels = [ids[i] for i in new], [texts[i] for i in new], labels[new]
         data, off = text_buffer(pa.array(texts, pa.large_string()))
         hashes, doc = terms(data, off)
         n = len(texts)
-        pair = np.unique(np.stack([doc.astype(np.uint64), hashes], axis=1), axis=0) if n else np.zeros((0, 2), np.uint64)
-        term, back = np.unique(pair[:, 1], return_inverse=True)
+        self.terms, back = np.unique(hashes, return_inverse=True)
+        row, col, tf = entries(doc, back, len(self.terms))
         weight = np.array([1 / rate[int(x)] for x in labels])
-        yes = np.bincount(back, labels[pair[:, 0].astype(np.int64)], len(term))
-        df = np.bincount(back, minlength=len(term)).astype(np.float64)
+        df = np.bincount(col, minlength=len(self.terms)).astype(np.float64)
+        yes = np.bincount(col, labels[row], len(self.terms))
         total, positive = float(n), float(labels.sum())
         no, miss = df - yes, positive - yes
         with np.errstate(divide="ignore", invalid="ignore"):
             chi2 = total * (yes * (total - positive - no) - no * miss) ** 2 / (df * (total - df) * positive * (total - positive))
         chi2 = np.nan_to_num(chi2, posinf=0.0)
-        pick = np.sort(np.argsort(-chi2, kind="stable")[:MAX_TERMS])
-        pick = pick[chi2[pick] >= LEAST_CHI2 + 2 * np.log(max(1, len(term)))]
-        self.terms = term[pick]
-        self.idf = np.log((1 + total) / (1 + df[pick])) + 1
-        vectors = np.zeros((n, len(pick)), np.float64)
-        row, col, value = self.sparse(hashes, doc, n)
-        vectors[row, col] = value
-        some = vectors.any(axis=1)
-        blank = ~some
+        half = HALF_CHI2 + 2 * np.log(max(1, len(self.terms)))
+        among, having = held(self.terms) if held else (n, df)
+        self.lookup = Lookup(self.terms)
+        self.idf = (np.log((1 + among) / (1 + having)) + 1) * (1 + chi2) / (1 + chi2 + half)
+        value = (1 + np.log(tf)) * self.idf[col]
+        value /= np.sqrt(np.bincount(row, value * value, n))[row]
+        some = np.bincount(row, minlength=n) > 0
+        blank = np.bincount(row, chi2[col] >= half, n) == 0  # holds no term that tells the labels apart
         base = float((weight * labels).sum() / weight.sum()) if n else 0.0
         self.base = base
         self.blank = float(((weight * labels)[blank].sum() + base) / (weight[blank].sum() + 1)) if n else 0.0
         keep = np.flatnonzero(some)
         if len(keep):  # like with like, for tight bounds
-            keep = keep[np.lexsort((vectors[keep].argmax(axis=1), labels[keep]))]
+            most = np.zeros(n, np.int64)
+            by_value = np.lexsort((value, row))
+            most[row[by_value]] = col[by_value]
+            keep = keep[np.lexsort((most[keep], labels[keep]))]
         self.ids = [ids[i] for i in keep]
         self.labels, self.weight = labels[keep].astype(np.float64), weight[keep]
-        blocks = -(-len(keep) // BLOCK)
-        self.matrix = np.zeros((len(pick), blocks * BLOCK))
-        self.matrix[:, : len(keep)] = vectors[keep].T
-        self.most = self.matrix.reshape(len(pick), blocks, BLOCK).max(axis=2) if blocks else np.zeros((len(pick), 0))
+        place = np.zeros(n, np.int64)
+        place[keep] = np.arange(len(keep))
+        self.blocks = -(-len(keep) // BLOCK)
+        frequent = df >= max(1.0, n / FREQUENT)
+        self.dense = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        full = frequent[col]
+        self.weights = np.zeros((self.blocks, int(frequent.sum()), BLOCK))
+        at = place[row[full]]
+        self.weights[at // BLOCK, self.dense[col[full]], at % BLOCK] = value[full]
+        self.most = self.weights.max(axis=2).T if self.blocks else np.zeros((0, 0))
+        rare = np.flatnonzero(~full)
+        rare = rare[np.lexsort((place[row[rare]], col[rare]))]
+        self.size = np.bincount(col[rare], minlength=len(self.terms))
+        self.start = np.cumsum(self.size) - self.size
+        self.posted, self.value = place[row[rare]].astype(np.int32), value[rare]
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """All weights, term by example (for small indexes)."""
+        out = np.zeros((len(self.terms), self.blocks * BLOCK))
+        out[self.dense >= 0] = self.weights.transpose(1, 0, 2).reshape(-1, out.shape[1])
+        out[np.repeat(np.arange(len(self.size)), self.size), self.posted] = self.value
+        return out
 
     def sparse(self, hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries (text, term, weight) of the unit vectors of texts, text by text."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        hit = self.terms[at] == hashes
-        cell, tf = np.unique(doc[hit] * len(self.terms) + at[hit], return_counts=True)
-        row, col = cell // len(self.terms), cell % len(self.terms)
+        hit, at = self.lookup.find(hashes)
+        row, col, tf = entries(doc[hit], at, len(self.terms))
         value = (1 + np.log(tf)) * self.idf[col]
         norm = np.sqrt(np.bincount(row, value * value, n))
         return row, col, value / norm[row]
 
     def nearest(self, col: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples with a similarity over 0, and their similarities."""
-        bound = value @ self.most[col]
-        order = np.argsort(-bound, kind="stable")
-        at, score = np.zeros(0, np.int64), np.zeros(0)
-        least, step, i = 0.0, 2, 0
-        while i < len(order) and bound[order[i]] > 0 and bound[order[i]] >= least - 1e-12:
+        return next(self.search(np.zeros(len(col), np.int64), col, value, 1))
+
+    def search(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each of n texts; entries stand text by text."""
+        cut = np.searchsorted(row, np.arange(n + 1))
+        met = np.concatenate([[0], np.cumsum(np.bincount(row, self.size[col], n).astype(np.int64) + self.blocks * BLOCK)])
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(met, met[lo] + CELLS, "right")) - 1)
+            own = slice(cut[lo], cut[hi])
+            yield from self.search_few(row[own] - lo, col[own], value[own], hi - lo)
+            lo = hi
+
+    def search_few(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        wide = self.blocks * BLOCK
+        often = self.dense[col] >= 0
+        count = self.size[col]
+        at = np.repeat(self.start[col] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        score = np.bincount(np.repeat(row * wide, count) + self.posted[at], np.repeat(value, count) * self.value[at], n * wide).reshape(n, self.blocks, BLOCK)
+        asked = np.zeros((n, self.most.shape[0]))
+        asked[row[often], self.dense[col[often]]] = value[often]
+        bound = score.max(axis=2, initial=0.0) + asked @ self.most
+        seen = np.full((n, self.blocks, BLOCK), -1.0)
+        least = np.zeros(n)
+        order = np.argsort(-bound.sum(axis=0), kind="stable")
+        i, step = 0, BLOCKS_AT_ONCE
+        while i < self.blocks:
             for b in order[i : i + step]:
-                if bound[b] < least - 1e-12 or bound[b] <= 0:
-                    break
-                at = np.concatenate([at, np.arange(b * BLOCK, (b + 1) * BLOCK)])
-                score = np.concatenate([score, value @ self.matrix[col, b * BLOCK : (b + 1) * BLOCK]])
+                need = np.flatnonzero((bound[:, b] >= least - 1e-12) & (bound[:, b] > 0))
+                seen[need, b] = score[need, b] + (asked if len(need) == n else asked[need]) @ self.weights[b]
             i, step = i + step, step * 2
-            top = np.lexsort((at, -score))[:NEAREST]
-            at, score = at[top], score[top]
-            least = score[-1] if len(score) == NEAREST else 0.0
-        some = score > 0
-        return at[some], score[some]
+            if wide > NEAREST:
+                least = np.maximum(0.0, np.partition(seen.reshape(n, wide), wide - NEAREST, axis=1)[:, wide - NEAREST])
+        for got, low in zip(seen.reshape(n, wide), least):
+            at = np.flatnonzero((got > 0) & (got >= low))
+            at = at[np.lexsort((at, -got[at]))[:NEAREST]]
+            yield at, got[at]
 
     def score(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[list]]:
         n = len(off) - 1
         hashes, doc = terms(data, off)
         row, col, value = self.sparse(hashes, doc, n)
         out, why = np.full(n, self.blank), [[] for _ in range(n)]
-        cut = np.searchsorted(row, np.arange(n + 1))
-        for i in np.flatnonzero(np.diff(cut)):
-            at, near = self.nearest(col[cut[i] : cut[i + 1]], value[cut[i] : cut[i + 1]])
-            vote = near * near * self.weight[at]
-            out[i] = ((vote * self.labels[at]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)
-            why[i] = [self.ids[a] for a in at[:EVIDENCE]]
+        told = np.bincount(row, minlength=n) > 0
+        for i, (at, near) in enumerate(self.search(row, col, value, n)):
+            if told[i]:
+                vote = near * near * self.weight[at]
+                out[i] = ((vote * self.labels[at]).sum() + PRIOR * self.base) / (vote.sum() + PRIOR)
+                why[i] = [self.ids[a] for a in at[:EVIDENCE]]
         return np.clip(out, 0.0, 1.0), why
 
 
+def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of texts, and how many of all texts hold each term."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, token = spark.sparkContext.broadcast(terms_), uuid.uuid4().hex
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = once("toxicity terms", token, lambda: Lookup(shared.value))
+        held = np.zeros(len(lookup.terms) + 1, np.int64)
+        for part, data, off in chunks(batches, "whole"):
+            hashes, doc = terms(data, off)
+            hit, at = lookup.find(hashes)
+            held[:-1] += np.bincount(entries(doc[hit], at, len(lookup.terms))[1], minlength=len(lookup.terms))
+            held[-1] += part.num_rows
+        if held[-1]:
+            cut = range(0, len(held), COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int32()), pa.array([held[c : c + COUNTS].tobytes() for c in cut], pa.binary())], names=["part", "held"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table["held"].to_pylist())
+        return pa.table({"part": table["part"][:1], "held": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("whole")).mapInArrow(count, "part int, held binary")
+    got = sorted(parts.groupBy("part").applyInArrow(add, "part int, held binary").collect())
+    held = np.frombuffer(b"".join(r["held"] for r in got), np.int64) if got else np.zeros(len(terms_) + 1, np.int64)
+    return int(held[-1]), held[:-1]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index | None:
     """An index over the bounded sample of the labelled texts."""
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
@@ -166,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return None
     y = np.array([r[2] for r in rows])
     rate = {v: max(1, int((y == v).sum())) / c for v, c in counts.items()}
-    return Index([r[0] for r in rows], [r[1] for r in rows], y, rate)
+    return Index([r[0] for r in rows], [r[1] for r in rows], y, rate, lambda found: document_counts(docs, found, text))
 
 
 def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
