@@ -118,6 +118,13 @@ def test_language(spark):
     assert {r.lang_pred for r in lang_id.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), None).collect()} == {"und"}
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    """Copies fill a language; all of a small language and the full sample of a larger one are learned still."""
+    rows = spark.range(120_000).select(F.concat(F.lit("text "), F.when(F.col("id") % 2 == 0, F.floor(F.col("id") / 2) % 700).otherwise(F.floor(F.col("id") / 2) % 9)).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    got = lang_id.sample(rows, "text", "lang")
+    assert {k: len(v) for k, v in got.items()} == {"en": lang_id.SAMPLE_DOCS, "de": 9} and all(len(set(v)) == len(v) for v in got.values())
+
+
 def test_code_lengths_are_those_of_a_plain_walk():
     texts = {"a": [b"abracadabra", b"abc"], "b": [b"banana"]}
     model = lang_id.Model(texts, order=2)

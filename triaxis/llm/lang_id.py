@@ -6,8 +6,9 @@ probability in the longest context known, with escapes (method C: d / (n + d) fo
 to the next shorter context where the symbol is new, down to 1 / 256. The language of least length wins;
 ties go to the name that sorts first. Every text is scored whole.
 
-The sample: at most `SAMPLE_DOCS` labelled texts of at most `SAMPLE_BYTES` bytes for each of at most
-`MAX_LANGS` languages (the most frequent), chosen by a hash of the text. All else covers every row.
+The sample: at most `SAMPLE_DOCS` distinct labelled texts of at most `SAMPLE_BYTES` bytes for each of at most
+`MAX_LANGS` languages (those with the most distinct texts), chosen by a hash of the text; its rate comes from the
+number of distinct texts, so copies take no part in it. All else covers every row.
 
 Null text, or text without a letter: `und`, score 0. Empty table: empty result. Repeated rows, ties and
 extra columns of any name keep their rows. Where nothing is learned, all texts are `und`.
@@ -37,13 +38,14 @@ UNKNOWN = "und"
 def sample(labelled: DataFrame, text: str, lang: str) -> dict[str, list[bytes]]:
     """The bounded sample, by language."""
     fit = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = fit.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+    fit = fit.withColumn("h", F.xxhash64("t", F.lit(7)))
+    counts = fit.select("l", "h").distinct().groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1e6, math.ceil(3e6 * SAMPLE_DOCS / r["count"])))])
-    spread = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1_000_000))
+    spread = F.pmod(F.col("h"), F.lit(1_000_000))
     few = fit.where(spread < F.coalesce(share[F.col("l")], F.lit(0.0))).dropDuplicates(["l", "t"])
-    by_lang = few.groupBy("l").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("t", F.lit(7)).alias("h"), "t"))).alias("x"))
+    by_lang = few.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("h", "t"))).alias("x"))
     rows = by_lang.select("l", F.slice("x", 1, SAMPLE_DOCS)["t"].alias("x")).collect()
     return {r["l"]: [t.encode() for t in r["x"]] for r in sorted(rows, key=lambda r: r["l"])}
 
