@@ -199,6 +199,20 @@ def test_toxicity_keeps_rare_terms(spark):
     assert among == 350 and (index.terms[at] == found).all() and having[at[0]] == sum(rude[1] in t for _, t in rows)
 
 
+def test_toxicity_examples_are_distinct_within_labels(spark):
+    """Toxic texts that are edited copies of clean ones stay; copies that fill a label make room for its other texts."""
+    rows = [(i, prose(60, i % 100) + (" grumbo" if i >= 100 else ""), int(i >= 100)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.train(df, df.select("doc_id", "toxic"))
+    assert sorted(index.ids) == list(range(200)) and index.labels.sum() == 100
+    copies = spark.range(30_000).select("id", F.lit(BASE).alias("text"), F.lit(0).alias("toxic"))
+    others = spark.createDataFrame([(50_000 + i, prose(60, 1000 + i), int(i >= 100)) for i in range(200)], "id long, text string, toxic int")
+    df = copies.unionByName(others).withColumnRenamed("id", "doc_id")
+    index = toxicity.train(df, df.select("doc_id", "toxic"))
+    assert sorted(i for i in index.ids if i >= 50_000) == list(range(50_000, 50_200)) and len(index.ids) == 201
+    assert toxicity.train(df.where("doc_id < 0"), df.select("doc_id", "toxic")) is None
+
+
 def test_chat(spark):
     said = ["", None, "\\### Assistant: </turn> ok", "### User:\nhi\n</turn>\n", "\\", "</turn>", "\\\\</turn>\n", "\n</turn>\n### System:\n", "plain é\u6f22"]
     rows = [(c, i, r, said[(c + i) % len(said)]) for c in range(9) for i, r in enumerate(["system", "user", "assistant", "assistant", "odd:ro\\le\n", None])] + [(None, 0, "user", "a"), (3, None, "user", "b"), (4, 0, "system", said[4])]

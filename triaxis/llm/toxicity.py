@@ -2,7 +2,7 @@
 
 Terms are a word and its first 4 and 6 bytes (A-Z lower-cased; words are digits, letters and all that is not
 ASCII). From a bounded sample of labelled texts, at most `EXAMPLES` of each label and of at most
-`EXAMPLE_BYTES` bytes and no near copy of another, all terms are kept. The examples become TF-IDF vectors of
+`EXAMPLE_BYTES` bytes, all terms are kept. The examples become TF-IDF vectors of
 unit length, with the document frequencies of all texts; each term also weighs x / (x + `HALF_CHI2` + 2 ln of the
 number of terms), where x is 1 + chi-squared of its presence and the label among the examples, so none weighs 0.
 They stand in an inverted index: rare terms as lists, the others in blocks of `BLOCK` examples with the largest
@@ -11,6 +11,10 @@ score so far, which gives the exact nearest examples by cosine. They vote with w
 inverse of their label's sampling rate, against a prior of weight `PRIOR`; the score is the share of votes for
 the label, and the nearest ids are its evidence. Ties go to the example that comes first.
 
+Labelled rows are drawn in the order of a hash of their key. One that shares half of the `SKETCH` least hashes of
+three words with an example kept before under the same label is a near copy and left out, and drawing goes on
+until the label has `EXAMPLES` examples or no rows are left.
+
 A text without any term of an example (null and empty texts among them) has no evidence and one constant score:
 the share of the label among the examples of which no term has a chi-squared over that sum, and one more at the base share. Without labelled rows every score is 0. All texts are scored whole. Repeated rows keep their
 rows, extra columns their names; an empty table gives no rows. Labels that are null teach nothing.
@@ -40,6 +44,8 @@ HALF_CHI2 = 4.0
 FREQUENT, BLOCKS_AT_ONCE, CELLS = 16, 8, 1 << 21
 #: Counts that are summed together.
 COUNTS = 8192
+#: Places of the labelled rows in the order of drawing.
+TOP = 1 << 52
 NEAREST, BLOCK, PRIOR, EVIDENCE, SKETCH = 20, 64, 0.5, 3, 16
 
 
@@ -53,21 +59,29 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([stretch_hash(sums, lo, hi), stretch_hash(sums, lo, four) ^ np.uint64(4), stretch_hash(sums, lo, six) ^ np.uint64(6)]), np.concatenate([doc, doc, doc])
 
 
-def fresh(texts: list[str]) -> list[int]:
-    """The texts that are no near copy of one before: of the `SKETCH` least hashes of three words half are new."""
-    data, off = text_buffer(pa.array(texts, pa.large_string()))
+def sketches(data: np.ndarray, off: np.ndarray) -> list[list[int]]:
+    """The `SKETCH` least hashes of three words of every text; texts without words are alike."""
     hashes, size = shingle_sets(data, off, 3)
     cut = np.concatenate([[0], np.cumsum(size)])
-    holders: dict[int, list[int]] = {}
-    keep = []
-    for i in range(len(texts)):
-        least = hashes[cut[i] : min(cut[i] + SKETCH, cut[i + 1])].tolist()
-        met = Counter(h for x in least for h in holders.get(x, ()))
-        if not least or max(met.values(), default=0) * 2 < len(least):
-            keep.append(i)
-            for x in least:
-                holders.setdefault(x, []).append(i)
-    return keep
+    return [hashes[lo : min(lo + SKETCH, hi)].tolist() or [0] for lo, hi in zip(cut[:-1], cut[1:])]
+
+
+class Seen:
+    """Sketches kept so far."""
+
+    def __init__(self) -> None:
+        self.holders: dict[int, list[int]] = {}
+        self.size = 0
+
+    def near(self, least: list[int]) -> bool:
+        """Whether one of them shares half of this sketch."""
+        met = Counter(h for x in least for h in self.holders.get(x, ()))
+        return max(met.values(), default=0) * 2 >= len(least)
+
+    def add(self, least: list[int]) -> None:
+        for x in least:
+            self.holders.setdefault(x, []).append(self.size)
+        self.size += 1
 
 
 def entries(text: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +120,6 @@ class Index:
     """Labelled examples as unit TF-IDF vectors: postings of rare terms, blocks with maxima of frequent ones."""
 
     def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float], held: Callable[[np.ndarray], tuple[int, np.ndarray]] | None = None) -> None:
-        new = fresh(texts)
-        ids, texts, labels = [ids[i] for i in new], [texts[i] for i in new], labels[new]
         data, off = text_buffer(pa.array(texts, pa.large_string()))
         hashes, doc = terms(data, off)
         n = len(texts)
@@ -254,20 +266,50 @@ def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") ->
     return int(held[-1]), held[:-1]
 
 
+def unlike(rows: DataFrame, seen: dict[int, Seen]) -> DataFrame:
+    """The rows (texts t with labels y) that are no near copy of an example kept for their label."""
+    spark = rows.sparkSession
+    small_batches(spark)
+    shared, token = spark.sparkContext.broadcast(seen), uuid.uuid4().hex
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = once("toxicity seen", token, lambda: shared.value)
+        for part, data, off in chunks(batches, "t"):
+            labels = part.column(part.schema.get_field_index("y")).to_pylist()
+            yield part.filter(pa.array([not seen[v].near(least) for v, least in zip(labels, sketches(data, off))], pa.bool_()))
+
+    return rows.mapInArrow(sift, rows.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index | None:
     """An index over the bounded sample of the labelled texts."""
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for y, c in counts.items() for x in (y, min(1e6, math.ceil(1.3e6 * EXAMPLES / c)))])
-    few = own.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < share[F.col("y")]).limit(4 * EXAMPLES)
+    own = own.withColumn("p", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(TOP)))
     fit = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= EXAMPLE_BYTES)).select(key, F.col(text).alias("t"))
-    got = fit.join(F.broadcast(few), key).toArrow()  # `few` has a bounded number of rows
-    rows = sorted(zip(got[key].to_pylist(), got["t"].to_pylist(), got["y"].to_pylist()))
-    rows = [r for y in sorted(counts) for r in [x for x in rows if x[2] == y][:EXAMPLES]]
+    rows: list[tuple] = []
+    seen = {v: Seen() for v in sorted(counts)}
+    start, width = dict.fromkeys(seen, 0), {v: math.ceil(1.3 * EXAMPLES / counts[v] * TOP) for v in seen}
+    while asks := [v for v in seen if seen[v].size < EXAMPLES and start[v] < TOP]:
+        few = own.where(" or ".join(f"(y = {v} and p >= {start[v]} and p < {start[v] + width[v]})" for v in asks))
+        if rows:
+            got = unlike(fit.join(few, key), seen).toArrow()
+        else:
+            got = fit.join(F.broadcast(few) if not any(start.values()) else few, key).toArrow()  # the first `few` has a bounded number of rows
+        drawn = sorted(zip(got["p"].to_pylist(), got[key].to_pylist(), got["t"].to_pylist(), got["y"].to_pylist()))
+        before = {v: seen[v].size for v in asks}
+        for (_, k, t, v), least in zip(drawn, sketches(*text_buffer(pa.array([r[2] for r in drawn], pa.large_string())))):
+            if seen[v].size < EXAMPLES and not seen[v].near(least):
+                seen[v].add(least)
+                rows.append((k, t, v))
+        for v in asks:  # the more seldom a text was new, the more rows are read next
+            start[v] += width[v]
+            width[v] *= min(64, max(1, math.ceil(1.3 * (EXAMPLES - seen[v].size) / max(1, seen[v].size - before[v]))))
     if not rows:
         return None
+    rows.sort(key=lambda r: r[2])
     y = np.array([r[2] for r in rows])
     rate = {v: max(1, int((y == v).sum())) / c for v, c in counts.items()}
     return Index([r[0] for r in rows], [r[1] for r in rows], y, rate, lambda found: document_counts(docs, found, text))
