@@ -2,9 +2,9 @@
 
 A turn is written as `### Role:`, a line feed, the text, a line feed, `</turn>` and a line feed. A deterministic
 parser cuts at the closing line and takes one backslash away wherever backslashes stand before `###` or
-`</turn>`. Each turn is first written verbatim and parsed; if what comes back is not the source, it is
-written with one backslash more before each such string, and this is parsed and compared again. The two
-agree then for any text: the escape puts a backslash before every opener, so no text can close its turn.
+`</turn>`. A text that holds `###` or `</turn>` anywhere is written with one backslash more before each such
+string, and so is a turn that written verbatim does not parse back; the whole is parsed and compared again. The
+two agree then for any text: the escape puts a backslash before every opener, so no text can close its turn.
 Roles other than user, assistant and system are written after `@`, with backslash, colon and line feed escaped.
 
 Null text or role: empty. Turns of equal number are ordered by role, then text; repeated rows are turns of
@@ -74,12 +74,13 @@ def parse(formatted: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, formatted, n_escaped (turns that needed it), and loss_spans: (at, size) in code points of each
+    """conv, formatted, n_escaped (turns written so), and loss_spans: (at, size) in code points of each
     assistant body in `formatted`."""
     own = rows.select(F.col(conv).alias("c"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("t"))
     plain = own.withColumn("plain", render(F.col("r"), F.col("t"))).withColumn("back", parse(F.col("plain")))
     same = (F.size("back") == 1) & (F.get("back", F.lit(0))["role"] == F.col("r")) & (F.get("back", F.lit(0))["text"] == F.col("t"))
-    turns = plain.withColumn("same", same).select("c", "n", "r", "t", F.when(F.col("same"), F.col("plain")).otherwise(render(F.col("r"), escape(F.col("t")))).alias("out"), (~F.col("same")).alias("escaped"))
+    escaped = F.col("t").rlike(GUARDED) | ~same
+    turns = plain.withColumn("escaped", escaped).select("c", "n", "r", "t", F.when(F.col("escaped"), render(F.col("r"), escape(F.col("t")))).otherwise(F.col("plain")).alias("out"), "escaped")
     ordered = turns.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "r", "t", "out", "escaped"))).alias("x"))
     out = ordered.select("c", "x", F.concat_ws("", F.col("x.out")).alias("formatted")).withColumn("turns", parse(F.col("formatted")))
     source, got = F.transform("x", lambda a: F.struct(a["r"].alias("role"), a["t"].alias("text"))), F.transform("turns", lambda a: F.struct(a["role"].alias("role"), a["text"].alias("text")))
