@@ -8,36 +8,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import send
-
 #: Text handled at once inside a Python worker, in bytes (a longer text is handled alone).
 CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) one is made."""
+    """The folder named by spark.checkpoint.dir. Only a local session that has none gets one of its own: on a
+    cluster, workers would not see a folder of the driver."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="triaxis-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    return f"{where.rstrip('/')}/triaxis-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back. Results are lazy and read
+    these tables, so they stay until `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for texts of any length, and sends this package to the workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    send(spark)
+def release(spark: SparkSession) -> None:
+    """Deletes all tables between that this application wrote; call it once its results are stored."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(docs: DataFrame, *added: str) -> DataFrame:
+    """docs with every column that an added one would clash with renamed by underscores at its end."""
+    taken = {c.casefold() for c in docs.columns} | {c.casefold() for c in added}
+    names = []
+    for c in docs.columns:
+        if c.casefold() in {a.casefold() for a in added}:
+            while c.casefold() in taken:
+                c += "_"
+            taken.add(c.casefold())
+        names.append(c)
+    return docs.toDF(*names) if names != docs.columns else docs
 
 
 def crc_mod(key: str, n: int) -> Column:
@@ -100,8 +116,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit hashes."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
@@ -119,9 +135,27 @@ def prefix_sums(data: np.ndarray, values: np.ndarray = VALUES, base: np.uint64 =
     return out
 
 
-def stretch_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of data[lo:hi], the same wherever these bytes stand."""
-    return mix((sums[hi] - sums[lo]) * powers(INVERSE, len(sums))[lo])
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+HEADS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[lo:hi]: eight bytes a step are mixed in, which is one to one for words of up
+    to eight bytes and, unlike a polynomial, has no different words that collide by their structure; long words
+    by xxh3."""
+    size = hi - lo
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) + BASE) ^ (eight[lo] & HEADS[np.minimum(size, 8)])
+    h = mix(h)
+    for at in range(8, LONG_WORD, 8):
+        some = np.flatnonzero(size > at)
+        if not len(some):
+            return h
+        h[some] = mix(h[some] ^ (eight[lo[some] + at] & HEADS[np.minimum(size[some] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[lo[i] : hi[i]])
+    return h
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, once, prefix_sums, small_batches, stretch_hash, text_buffer, word_spans
+from ..workers import send
+from .common import LOWER, chunks, once, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -43,7 +44,7 @@ class Benchmark:
         data, off = text_buffer(pa.array(texts, pa.string()))
         data = LOWER[data]
         lo, hi, item = word_spans(data, off, IS_WORD)
-        hashes = stretch_hash(prefix_sums(data), lo, hi)
+        hashes = word_hashes(data, lo, hi)
         self.words = np.unique(hashes)  # a word's number: its place here, from 1
         number = np.searchsorted(self.words, hashes) + 1
         self.ids, self.window = ids, window
@@ -106,7 +107,7 @@ def match(bench: Benchmark, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarr
     hit = np.zeros(len(lo) + 1, np.int64)
     if not len(lo) or not bench.windows:
         return count, lo, doc, hit[:-1] > 0, items
-    hashes = stretch_hash(prefix_sums(data), lo, hi)
+    hashes = word_hashes(data, lo, hi)
     place = np.minimum(np.searchsorted(bench.words, hashes), len(bench.words) - 1)
     number = np.where(bench.words[place] == hashes, place + 1, 0)
     # a run of known words ends at an unknown word or at the end of a text
@@ -155,7 +156,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Adds n_words, hits (array of the first word and the word after each hit stretch) and items (sorted, distinct)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    send(spark)
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     own = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text).alias("whole"))
     schema = T.StructType([T.StructField("kept", docs.schema), *added])

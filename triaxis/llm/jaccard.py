@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, LOWER, chunks, materialize, mix, once, prefix_sums, small_batches, stretch_hash, word_spans
+from ..workers import send
+from .common import BASE, LOWER, chunks, materialize, mix, once, word_hashes, word_spans
 
 N, PERCENT = 5, 80
 #: Shingles known as frequent at most; from how many documents on a shingle is; shingles packed at once.
@@ -55,7 +56,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndar
     docs = len(off) - 1
     data = LOWER[data]
     lo, hi, doc = word_spans(data, off, IS_WORD)
-    word = stretch_hash(prefix_sums(data), lo, hi)
+    word = word_hashes(data, lo, hi)
     count = np.bincount(doc, minlength=docs)
     total = max(0, len(word) - n + 1)
     shingle = np.zeros(total, np.uint64)
@@ -337,7 +338,7 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row of docs."""
-    small_batches(docs.sparkSession)
+    send(docs.sparkSession)
     found = heads(docs, key, text, percent)
     rows = found.where("kind = 2").select(F.col("k").alias(key), F.col("v").alias("n"), "a", "b", "ref")
     least = rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("a", "b", "n").agg(F.min(key).alias("sid"))

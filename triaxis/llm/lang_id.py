@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, once, small_batches
+from ..workers import send
+from .common import chunks, once
 
 ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGS = 300, 16_384, 64
@@ -135,7 +136,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """Adds lang_pred, score (the posterior of that language, all equally likely before) and bits (the
     code length under it); `text` stays."""
     spark = docs.sparkSession
-    small_batches(spark)
+    send(spark)
     shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     kept = T.StructType([T.StructField("kept", docs.schema)])
     own = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text).alias("whole"))

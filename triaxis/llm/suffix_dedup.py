@@ -16,9 +16,13 @@ dictionary (suffixes of phrases, sorted from their ends) and that of the parse (
    their SPAN bytes.
 4. Repeated starts go back to all places of their phrase, are united to byte runs and cut out.
 
+Texts are put into packs once; the packs are a table of their own, which all later steps read, so that they mean the same
+packs by a pack's number however the input is read again. A trigger's rows are read in order, so a task holds
+one trigger or block at a time; a long text is parsed in pieces of `PIECE` bytes that overlap by a stretch.
+
 Null text: empty, nothing removed. Texts under SPAN bytes keep everything. Repeated rows are texts of
-their own, so they remove each other. Keys may be null or repeated. An empty table gives no rows; extra
-columns keep their names. Matches never cross texts.
+their own, so they remove each other. Keys may be null or repeated. An empty table gives no rows. Matches never
+cross texts. Extra columns keep their names, but one named like an added column gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -29,17 +33,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import INVERSE, byte_values, chunks, materialize, mix, powers, prefix_sums, small_batches
+from ..workers import send
+from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
 BLOCK, SORTED, HELD = 1024, 8192, 20_000
-#: Bytes of text packed together.
-PACKED = 1 << 20
+#: Bytes of text packed together, and parsed at once.
+PACKED, PIECE = 1 << 20, 4 << 20
 #: A second hash, for whole phrases: with the trigger's own it makes 128 bits.
 OWN_VALUES, OWN_BASE = byte_values(2), np.uint64(0xC2B2AE3D27D4EB4F)
 OWN_INVERSE = np.uint64(pow(int(OWN_BASE), -1, 1 << 64))
@@ -61,6 +67,13 @@ def sliding(x: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
 PLACE = np.uint64((1 << 30) - 1)
 
 
+def pieces(data: np.ndarray, off: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Where each piece begins, its bytes and offsets; every stretch starts in one piece and lies in it."""
+    for lo in range(0, max(len(data), 1), PIECE):
+        part = data[lo : lo + PIECE + span - 1]
+        yield lo, part, np.concatenate([[0], np.clip(off[1:] - lo, 0, len(part))])
+
+
 def triggers(data: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each phrase: its trigger's place and hash, the first and last start of a stretch whose trigger it
     is, and the text's number."""
@@ -68,8 +81,6 @@ def triggers(data: np.ndarray, off: np.ndarray, span: int = SPAN, k: int = K) ->
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none, none, none, none
-    if n > int(PLACE):
-        raise ValueError("a text of more than 2 ** 30 bytes")
     sums = prefix_sums(data)
     grams = mix((sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1))
     least = sliding((grams & ~PLACE) | np.arange(n - k + 1, dtype=np.uint64), width, np.minimum, 2**64 - 1)
@@ -142,88 +153,119 @@ def flat_spans(flags: np.ndarray) -> list[list[int]]:
     return [at[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])]
 
 
-def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Packs of texts (pack, kept, offsets, texts), and the repeated runs of each pack (pack, runs)."""
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """A table of packs: pack (its number), kept (rows without their texts; none: the text is null), offsets, texts."""
+    others = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text).isNull().alias("none")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
+        for part, data, off in chunks(batches, "whole", PACKED):
+            kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), kept, pa.array([off.tolist()], pa.list_(pa.int64())), pa.array([press(data.tobytes())], pa.binary())], names=["pack", "kept", "offsets", "texts"])
+            number += 1
+
+    kind = T.StructType([T.StructField("pack", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())])
+    return materialize(own.mapInArrow(press, kind))
+
+
+def find_runs(packs: DataFrame, span: int, block: int) -> DataFrame:
+    """The repeated runs of each pack that has some: pack, runs (first byte, byte after, ...; they may overlap)."""
     k = min(K, max(1, span // 3))
     width = span - k + 1
-    held = docs.select(F.struct(*docs.columns).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
-    def key_of(data: np.ndarray, off: np.ndarray) -> int:
-        return xxhash.xxh3_64_intdigest(data.tobytes(), seed=len(off)) - (1 << 63)
+    def phrases(data: np.ndarray, off: np.ndarray, named: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+        for lo, data, off in pieces(data, off, span):
+            at, gram, first, last, _ = triggers(data, off, span, k)
+            if not named:
+                yield (gram,)
+                continue
+            sums = prefix_sums(data, OWN_VALUES, OWN_BASE)
+            cut = mix((sums[last + span] - sums[first]) * powers(OWN_INVERSE, len(sums))[first] + (at - first).astype(np.uint64)) if len(at) else first
+            yield at + lo, gram, first + lo, last + lo, cut.view(np.int64)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, np.ndarray]]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield batch, i, unpack(batch["texts"][i].as_py()), np.array(batch["offsets"][i].as_py(), np.int64)
 
-    def phrases(data: np.ndarray, off: np.ndarray):
-        at, gram, first, last, _ = triggers(data, off, span, k)
-        sums = prefix_sums(data, OWN_VALUES, OWN_BASE)
-        cut = mix((sums[last + span] - sums[first]) * powers(OWN_INVERSE, len(sums))[first] + (at - first).astype(np.uint64))
-        return at, gram, first, last, cut.view(np.int64)
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, raw, off in texts(batches):
+            for (gram,) in phrases(np.frombuffer(raw, np.uint8), off, named=False):
+                yield pa.RecordBatch.from_arrays([pa.array(gram)], names=["gram"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, off in chunks(batches, "whole", PACKED):
-            _, gram, first, _, phrase = phrases(data, off)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key_of(data, off))), pa.array(first.astype(np.int32)), pa.array(gram), pa.array(phrase)], names=["pack", "first", "gram", "phrase"])
+        for batch, i, raw, off in texts(batches):
+            for _, gram, first, _, phrase in phrases(np.frombuffer(raw, np.uint8), off):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), batch["pack"][i].as_py())), pa.array(first.astype(np.int32)), pa.array(gram), pa.array(phrase)], names=["pack", "first", "gram", "phrase"])
 
-    found = held.select("whole").mapInArrow(parse, "pack long, first int, gram long, phrase long")
     # tables of their own, so that a hot trigger or phrase is dealt out anew when it is joined
-    shared = materialize(found.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+    shared = materialize(packs.select("offsets", "texts").mapInArrow(spot, "gram long").groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+    found = packs.select("pack", "offsets", "texts").mapInArrow(parse, "pack long, first int, gram long, phrase long")
     wanted = materialize(found.join(shared, "gram"))
     firsts = wanted.groupBy("pack").agg(F.collect_set("first").alias("firsts"))
-
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for part, data, off in chunks(batches, "whole", PACKED):
-            kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(data, off)]), kept, pa.array([off.tolist()], pa.list_(pa.int64())), pa.array([pack(data.tobytes())], pa.binary())], names=["pack", "kept", "offsets", "texts"])
-
-    kind = T.StructType([T.StructField("pack", T.LongType()), T.StructField("kept", T.ArrayType(docs.schema)), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())])
-    packs = held.mapInArrow(press, kind)
+    heavy = materialize(wanted.select("gram", "phrase").distinct().groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > block))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
 
         def out() -> pa.RecordBatch:
             gram, phrase = zip(*seen)
             head, cut, times = zip(*seen.values())
             return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(phrase, pa.int64()), pa.array(head, pa.int32()), pa.array(cut, pa.binary()), pa.array(times, pa.int64())], names=["gram", "phrase", "head", "cut", "times"])
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = unpack(batch.column(1)[i].as_py())
-                off = np.array(batch.column(0)[i].as_py(), np.int64)
-                at, gram, first, last, phrase = phrases(np.frombuffer(raw, np.uint8), off)
-                pick = np.flatnonzero(np.isin(first, np.array(batch.column(2)[i].as_py())))
+        for batch, i, raw, off in texts(batches):
+            asked = batch["firsts"][i].values.to_numpy()
+            for at, gram, first, last, phrase in phrases(np.frombuffer(raw, np.uint8), off):
+                pick = np.flatnonzero(np.isin(first, asked))
                 for j in pick.tolist():
                     x = seen.get(name := (int(gram[j]), int(phrase[j])))
                     if x:
                         x[2] += 1
                     else:
                         seen[name] = [int(at[j] - first[j]), raw[first[j] : last[j] + span], 1]
-                if len(seen) > HELD:
-                    yield out()
-                    seen.clear()
+                    if len(seen) > HELD:
+                        yield out()
+                        seen.clear()
         if seen:
             yield out()
 
     near = packs.select("pack", "offsets", "texts").join(firsts, "pack").select("offsets", "texts", "firsts")
     entries = near.mapInArrow(counted, "gram long, phrase long, head int, cut binary, times long")
-    heavy = entries.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > block)
     split = entries.join(heavy, "gram", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("phrase"), F.ceil(F.col("c") / block).cast("long")), F.lit(-1).cast("long")))
-    dealt = split.select("gram", "part", "phrase", "head", "cut", "times").repartition("gram", "part")
+    dealt = split.select("gram", "part", "phrase", "head", "cut", "times").repartition("gram", "part").sortWithinPartitions("gram", "part", "phrase")
+
+    def changes(table: pa.Table, *columns: str) -> np.ndarray:
+        """Rows that differ from the row before in one of the columns."""
+        x = [table[c].to_numpy() for c in columns]
+        return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)]))
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        """Equal phrases once."""
+        table = pa.concat_tables(held).combine_chunks()
+        first = changes(table, "gram", "part", "phrase")
+        times = np.add.reduceat(table["times"].to_numpy(), first)
+        return table.take(pa.array(first)).set_column(table.schema.get_field_index("times"), "times", pa.array(times))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        gram, part, phrase = (table[c].to_numpy() for c in ("gram", "part", "phrase"))
-        order = np.lexsort((phrase, gram, part))
-        gram, part, phrase = gram[order], part[order], phrase[order]
-        new = lambda *x: np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in x], axis=0)]))
-        first = new(gram, part, phrase)
-        times = np.add.reduceat(table["times"].to_numpy()[order], first)
-        order, gram, part, phrase = order[first], gram[first], part[first], phrase[first]
-        fresh = new(gram, part)
-        ends = np.append(fresh[1:], len(first))
+        held: list[pa.Table] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, SORTED):
+                held.append(pa.Table.from_batches([batch.slice(at, SORTED)]))
+                if sum(t.num_rows for t in held) >= SORTED:
+                    table = merged(held)
+                    last = int(changes(table, "gram", "part")[-1])  # the last trigger may go on
+                    if last:
+                        yield from whole(table.slice(0, last))
+                    held = [table.slice(last)]
+        if held:
+            yield from whole(merged(held))
+
+    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram, part, phrase, times = (table[c].to_numpy() for c in ("gram", "part", "phrase", "times"))
+        fresh = changes(table, "gram", "part")
+        ends = np.append(fresh[1:], len(gram))
         lo = 0
         while lo < len(fresh):  # whole triggers together, blocks of split triggers alone
             hi = lo + 1
@@ -231,7 +273,7 @@ def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFr
                 while hi < len(fresh) and part[fresh[hi]] < 0 and ends[hi] - fresh[lo] <= SORTED:
                     hi += 1
             a, b = int(fresh[lo]), int(ends[hi - 1])
-            some = table.take(pa.array(order[a:b]))
+            some = table.slice(a, b - a)
             yield from solved(gram[a:b], phrase[a:b], some["head"].to_pylist(), some["cut"].to_pylist(), times[a:b], part[a] >= 0)
             lo = hi
 
@@ -257,25 +299,28 @@ def find_runs(docs: DataFrame, text: str, span: int, block: int) -> tuple[DataFr
     starts = known.where(F.col("stretch").isNull()).select("gram", "phrase", "spans").unionByName(more)
     starts = materialize(starts.groupBy("gram", "phrase").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     moved = F.transform("spans", lambda x, i: x + F.col("first") + F.when(i % 2 == 1, span - 1).otherwise(0))
-    runs = wanted.join(starts, ["gram", "phrase"]).select("pack", moved.alias("runs")).groupBy("pack").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return packs, runs
+    return wanted.join(starts, ["gram", "phrase"]).select("pack", moved.alias("runs")).groupBy("pack").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BLOCK, as_text: bool = False) -> DataFrame:
     """Adds removed (first byte, byte after, ... of each maximal run cut out), kept_bytes (binary: what remains)
-    and n_bytes. as_text: kept_text in place of kept_bytes, without the rests of characters that a cut splits."""
-    small_batches(docs.sparkSession)
-    packs, runs = find_runs(docs, text, span, block)
+    and n_bytes; `text` is left out. as_text: kept_text in place of kept_bytes (null for a null text), without the
+    rests of characters that a cut splits."""
+    send(docs.sparkSession)
+    remains = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
+    own = [T.StructField("removed", T.ArrayType(T.IntegerType())), remains, T.StructField("n_bytes", T.LongType())]
+    others = [c for c in clear(docs.select([c for c in docs.columns if c != text]), *[f.name for f in own]).columns]
+    packs = packed(docs, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
-                raw, off, spans = unpack(batch.column(2)[i].as_py()), batch.column(1)[i].as_py(), batch.column(3)[i].as_py() or []
+                raw, off, spans = unpack(batch["texts"][i].as_py()), batch["offsets"][i].as_py(), batch["runs"][i].as_py() or []
                 depth = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(depth, np.array(spans[::2], np.int64), 1)
                 np.add.at(depth, np.array(spans[1::2], np.int64), -1)
-                gone = np.cumsum(depth[:-1]) > 0
+                gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
                 data = np.frombuffer(raw, np.uint8)
                 removed, kept = [], []
                 for a, b in zip(off, off[1:]):
@@ -285,14 +330,17 @@ def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BL
                     else:
                         removed.append([])
                         kept.append(raw[a:b])
-                rows = batch.column(0).slice(i, 1).flatten()
-                rest = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                rows = batch["kept"].slice(i, 1).flatten()
+                if as_text:
+                    none = rows.field(rows.type.num_fields - 1).to_pylist()
+                    rest = pa.array([None if n else x.decode(errors="ignore") for x, n in zip(kept, none)], pa.string())
+                else:
+                    rest = pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays([rows, pa.array(removed, pa.list_(pa.int32())), rest, pa.array(np.diff(off))], names=["kept", *[f.name for f in own]])
 
-    remains = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
-    own = [T.StructField("removed", T.ArrayType(T.IntegerType())), remains, T.StructField("n_bytes", T.LongType())]
-    both = packs.join(runs, "pack", "left").select("kept", "offsets", "texts", "runs")
-    return both.mapInArrow(cut, T.StructType([T.StructField("kept", docs.schema), *own])).select("kept.*", *[f.name for f in own])
+    both = packs.join(find_runs(packs, span, block), "pack", "left").select("kept", "offsets", "texts", "runs")
+    out = both.mapInArrow(cut, T.StructType([T.StructField("kept", packs.schema["kept"].dataType.elementType), *own]))
+    return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(others)], *[f.name for f in own])
 
 
 def brute(texts: list[str | None], span: int = SPAN) -> list[tuple[bytes, list[int]]]:

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, chunks, once, prefix_sums, small_batches, stretch_hash, text_buffer, word_spans
+from ..workers import send
+from .common import LOWER, chunks, once, text_buffer, word_hashes, word_spans
 from .decontam import IS_WORD
 from .jaccard import shingle_sets
 
@@ -53,10 +54,9 @@ def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms of all texts, and the text of each."""
     data = LOWER[data]
     lo, hi, doc = word_spans(data, off, IS_WORD)
-    sums = prefix_sums(data)
     four = np.minimum(lo + 4, hi)
     six = np.minimum(lo + 6, hi)
-    return np.concatenate([stretch_hash(sums, lo, hi), stretch_hash(sums, lo, four) ^ np.uint64(4), stretch_hash(sums, lo, six) ^ np.uint64(6)]), np.concatenate([doc, doc, doc])
+    return np.concatenate([word_hashes(data, lo, hi), word_hashes(data, lo, four) ^ np.uint64(4), word_hashes(data, lo, six) ^ np.uint64(6)]), np.concatenate([doc, doc, doc])
 
 
 def sketches(data: np.ndarray, off: np.ndarray) -> list[list[int]]:
@@ -241,7 +241,7 @@ class Index:
 def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
     """The number of texts, and how many of all texts hold each term."""
     spark = docs.sparkSession
-    small_batches(spark)
+    send(spark)
     shared, token = spark.sparkContext.broadcast(terms_), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") ->
 def unlike(rows: DataFrame, seen: dict[int, Seen]) -> DataFrame:
     """The rows (texts t with labels y) that are no near copy of an example kept for their label."""
     spark = rows.sparkSession
-    small_batches(spark)
+    send(spark)
     shared, token = spark.sparkContext.broadcast(seen), uuid.uuid4().hex
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
     """Adds score and evidence (ids of the nearest examples)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    send(spark)
     shared, token = spark.sparkContext.broadcast(index), uuid.uuid4().hex
     own = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text).alias("whole"))
 
