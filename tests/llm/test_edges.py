@@ -93,19 +93,38 @@ def test_repeated_rows_in_several_blocks(spark):
     assert [len(r["items"]) for r in decontam.matches(twice, bench, block_bytes=40).collect()] == [1, 1]
 
 
-@pytest.mark.parametrize("hot", [0, 5, 1 << 18])
-def test_bpe(spark, hot):
+@pytest.mark.parametrize("volume", [60, 1 << 24])
+def test_bpe(spark, volume, monkeypatch):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
     own = Tokenizer.from_file(path)
-    texts = [*TEXTS, "a <|endoftext|> b<|startoftext|>", "İstanbul ΣΑΣ e\u0301 \x1c \x85 \u00a0 don't 12", "<|endoftext|"]
-    got = by_id(bpe.decode(bpe.encode(documents(spark, texts), path, hot_words=hot).withColumn("copy", F.col("ids")), path))
+    monkeypatch.setattr(bpe, "VOLUME", volume)
+    texts = [*TEXTS, "x" * 70_000 + " " + "long text's end " * 200_000, "a <|endoftext|> b<|startoftext|>", "İstanbul ΣΑΣ e\u0301 \x1c \x85 \u00a0 don't 12", "<|endoftext|"]
+    got = by_id(bpe.decode(bpe.encode(documents(spark, texts), path).withColumn("copy", F.col("ids")), path))
     for i, t in enumerate(texts):
         ids = own.encode(t or "", add_special_tokens=False).ids
         assert bytes(got[i]["copy"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert got[i].decoded == own.decode(ids, skip_special_tokens=False) and got[i].kept == "q"
     assert bpe.encode(documents(spark).limit(0), path).isEmpty()
+    clash = bpe.encode(spark.createDataFrame([("a b", 1, 2), ("a b", 1, 2)], "text string, ids int, IDS_ int"), path)
+    assert clash.columns == ["ids__", "IDS_", "ids"] and [tuple(r)[:2] for r in clash.collect()] == [(1, 2)] * 2
+
+
+def test_bpe_splits_like_the_tokenizer():
+    """Every safe character, and random mixtures of characters, are split as the tokenizer's own steps split them."""
+    with open(queries.tokenizer_path()) as f:
+        own = bpe.Splitter(f.read())
+    safe = [c for c in map(chr, [*range(0xD7A4), *range(0xE000, 0x1_0100)]) if own.safe(c)]
+    texts = [t for c in safe for t in (f"a{c}b", f"1{c}{c}!", f"{c}'s")]
+    mixed = random.Random(2)
+    texts += ["".join(mixed.choice("abst'dmrevl 12!-\u00e9\n\t\u0416\u6f22\u00bc\u0130\u03a3e\u0301") for _ in range(mixed.randint(0, 40))) for _ in range(5000)]
+    words, counts = own.split(texts)
+    words, at = words.to_pylist(), 0
+    assert len(safe) > 30_000
+    for t, n in zip(texts, counts):
+        assert words[at : at + n] == own.words(t)
+        at += n
 
 
 def test_language(spark):

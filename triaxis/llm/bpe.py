@@ -1,45 +1,48 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words, every distinct word is encoded once, and its ids go back to the places where
-the word stands. The most frequent words (at most `hot_words` of at most `HOT_BYTES` bytes each, so a
-bounded table) travel to the workers as a broadcast; all other words are joined to the packs of texts they
-stand in, so the vocabulary may grow without bound. Decoding looks ids up in the table of the vocabulary's pieces.
-
-Null text: no ids. Empty text: no ids. Repeated rows and repeated or null keys: each row has its result.
-Further columns of any name are passed through. An empty table gives an empty table.
+Texts are split into words once. Texts of about `VOLUME` bytes make a volume, whose words become numbers of its own
+list of distinct words. The lists of all volumes meet in one table of distinct words, where each word is encoded
+once; its ids are joined back to the places (volume, number) it came from, and the numbers of a volume's texts are
+replaced by them. So what is shuffled are lists of distinct words, and the most frequent word is one row a volume.
+Decoding joins each id with the vocabulary's table of pieces, which has one row an id and goes to all workers.
+
+Null text: no ids. Empty text: no ids. Repeated rows and repeated or null keys: each row has its result. Extra
+columns are passed through; one named like an added column gets underscores at its end. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
+import unicodedata
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize, once, small_batches
+from ..workers import send
+from .common import chunks, clear, materialize, once
 
-#: Words encoded through the broadcast table at most, and the length of the longest of them.
-HOT_WORDS = 327_680
-HOT_BYTES = 64
-#: Bytes of text packed together.
-PACKED = 1 << 20
-#: Distinct words that a worker counts before it hands them on.
-COUNTED = 300_000
+#: Bytes of text whose words share a list, and tokens decoded at once.
+VOLUME, DECODED = 16 << 20, 4 << 20
+#: Endings that the tokenizer's pattern parts from the word before them.
+ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
 class Splitter:
     """Splits a text into the words that the tokenizer of `config` (its JSON) encodes one by one."""
 
-    #: Here the `regex` module and the tokenizer's own engine agree on classes, case and normal forms.
-    SAFE = regex.compile("[\t-\r -~¡-įı-ɏ]*")
+    #: Characters for which Python and the tokenizer's own engine agree on classes, case and normal forms, whatever
+    #: stands beside them: Latin, Cyrillic, Hebrew and Arabic letters, punctuation, currencies, kana, Han, Hangul.
+    SAFE = "\t-\r -~\u00a1-\u012f\u0131-\u024f\u0400-\u0482\u048a-\u052f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fef\uac00-\ud7a3"
+    BLANK, LETTER, NUMBER, OTHER, UNSAFE = range(5)
 
     def __init__(self, config: str) -> None:
         from tokenizers import Tokenizer
@@ -51,17 +54,85 @@ class Splitter:
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.pieces: dict[int, str] = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.by_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        steps = model["pre_tokenizer"]["pretokenizers"]
-        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.kind = np.full(0xD7A5, self.UNSAFE, np.uint8)  # the last stands for all characters beyond
+        for c in regex.findall(f"[{self.SAFE}]", "".join(map(chr, range(0xD7A4)))):
+            self.kind[ord(c)] = self.BLANK if c.isspace() else {"L": self.LETTER, "N": self.NUMBER}.get(unicodedata.category(c)[0], self.OTHER)
+        for c in regex.findall(f"[{self.SAFE}]", "".join(map(chr, range(0x530)))):  # small letters may lie beyond
+            if len(c.lower()) == 1 and self.kind[ord(c)] == self.LETTER:
+                self.kind[ord(c.lower())] = self.LETTER
 
     @staticmethod
     def of(config: str) -> "Splitter":
         return once("bpe splitter", config, lambda: Splitter(config))
 
+    def split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts in order, special tokens among them, and how many each text has."""
+        if not texts:
+            return pa.array([], pa.string()), np.zeros(0, np.int64)
+        joined = "\n".join(texts)
+        if self.safe(joined):
+            return self.cut(joined.lower(), texts)
+        found, counts, run = [], [], []
+
+        def flush() -> None:
+            if run:
+                words, count = self.cut("\n".join(run).lower(), run)
+                found.append(words)
+                counts.append(count)
+                run.clear()
+
+        for t in texts:
+            if self.safe(t):
+                run.append(t)
+            elif not self.by_special.search(t) and self.safe(normal := self.tokenizer.normalizer.normalize_str(t)):
+                run.append(normal)
+            else:
+                flush()
+                words = self.words(t)
+                found.append(pa.array(words, pa.string()))
+                counts.append(np.array([len(words)]))
+        flush()
+        return pa.concat_arrays(found), np.concatenate(counts)
+
+    def safe(self, text: str) -> bool:
+        if "<" in text and self.by_special.search(text):
+            return False
+        return not (self.kinds(text) == self.UNSAFE).any()
+
+    def kinds(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.kind[np.minimum(points, len(self.kind) - 1)]
+
+    def cut(self, joined: str, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """split() of safe texts, from their small letters joined by line feeds: a word ends where the kind of
+        character changes, every digit is a word, and an apostrophe that stands alone takes some endings."""
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = self.kind[points]
+        edge = np.ones(len(points) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == self.NUMBER)
+        after = np.append(points, [0, 0, 0]).astype(np.uint32)
+        alone = np.flatnonzero((points == ord("'")) & edge[:-1] & edge[1:])
+        one = alone[np.isin(after[alone + 1], list(map(ord, ONE_LETTER)))]
+        two = alone[np.any([(after[alone + 1] == ord(a)) & (after[alone + 2] == ord(b)) for a, b in TWO_LETTERS], axis=0)]
+        edge[np.concatenate([one, two]) + 1] = False
+        edge[np.concatenate([one + 2, two + 3])] = True
+        at = np.flatnonzero(edge)
+        lo, hi = at[:-1], at[1:]
+        word = kind[lo] != self.BLANK
+        lo, hi = lo[word], hi[word]
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        counts = np.diff(np.searchsorted(lo, starts))
+        raw = np.frombuffer(joined.encode(), np.uint8)
+        size = hi - lo
+        if len(raw) != len(points):
+            place = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int64))])
+            size = place[hi] - place[lo]
+        raw = raw[(raw != 32) & ((raw < 9) | (raw > 13))]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))), counts
+
     def words(self, text: str) -> list[str]:
-        """The words, special tokens among them, in order."""
-        if "<" not in text or not self.by_special.search(text):
-            return self.plain(text)
+        """The words of one text by the tokenizer's own steps."""
         out, at = [], 0
         for m in self.by_special.finditer(text):
             out += self.plain(text[at : m.start()])
@@ -70,11 +141,7 @@ class Splitter:
         return out + self.plain(text[at:])
 
     def plain(self, text: str) -> list[str]:
-        if self.SAFE.fullmatch(text):
-            return self.find(text.lower())
         text = self.tokenizer.normalizer.normalize_str(text)
-        if self.SAFE.fullmatch(text):
-            return self.find(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, words: list[str]) -> list[bytes]:
@@ -89,111 +156,124 @@ def read_config(spark, path: str) -> str:
         return f.read()
 
 
-def word_table(texts: DataFrame, text: str, config) -> DataFrame:
-    """(word, n, ids): every distinct word, how often it stands in the texts, and its ids, encoded once."""
+def volumes(docs: DataFrame, text: str, config) -> DataFrame:
+    """A table of volumes: volume (its number), kept (rows without their texts), counts (words of each text), codes
+    (the words' numbers, compressed), size and words (the list of distinct words)."""
+    others = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter.of(config.value).words, Counter()
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number = Splitter.of(config.value), TaskContext.get().partitionId() << 32
+        kept, counts, found, held = [], [], [], 0
+        press = zstandard.ZstdCompressor(level=3).compress
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    seen.update(split(t))
-                    if len(seen) > COUNTED:
-                        yield out()
-                        seen.clear()
-        if seen:
+            rows, coded = pa.concat_arrays(kept), pa.concat_arrays(found).dictionary_encode()
+            planes = np.ascontiguousarray(coded.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([number]), row(rows), row(pa.array(np.concatenate(counts))), pa.array([press(planes.tobytes())], pa.binary()), pa.array([len(coded.dictionary)], pa.int32()), row(coded.dictionary)], names=["volume", "kept", "counts", "codes", "size", "words"])
+
+        for part, data, _ in chunks(batches, "whole"):
+            words, count = own.split(part.column(1).to_pylist())
+            kept.append(part.column(0))
+            counts.append(count)
+            found.append(words)
+            held += len(data) + 64 * part.num_rows
+            if held >= VOLUME:
+                yield out()
+                kept, counts, found, held, number = [], [], [], 0, number + 1
+        if kept:
             yield out()
 
+    kind = T.StructType([T.StructField("volume", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    return materialize(own.mapInArrow(build, kind))
+
+
+def word_table(words: DataFrame, config) -> DataFrame:
+    """(word, ids): every distinct word and its ids, encoded once."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Splitter.of(config.value)
         for batch in batches:
-            ids = own.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
 
-    counted = texts.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(counted.mapInArrow(encode, "word string, n long, ids binary"))
+    return materialize(words.select("word").distinct().mapInArrow(encode, "word string, ids binary"))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
+def runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of every pair, end to end."""
+    total = np.cumsum(size)
+    return values[np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+
+
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of a column of ids, and where each row's begin (nulls have none)."""
+    column = column.fill_null(b"") if column.null_count else column
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<u4") if data is not None else np.zeros(0, np.uint32), (off - off[0]) // 4
+
+
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """Adds `ids` (binary: little-endian unsigned 32-bit integers) to every row; `text` is left out."""
     spark = docs.sparkSession
-    small_batches(spark)
+    send(spark)
     config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
-    table = word_table(docs, text, config)
-    top = table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words).select("word", "ids").toArrow()
-    hot = spark.sparkContext.broadcast((top["word"].combine_chunks().to_pylist(), top["ids"].combine_chunks().to_pylist()))
-    del top
-
-    token = uuid.uuid4().hex
-
-    def known() -> dict[str, bytes]:
-        return once("bpe words", token, lambda: dict(zip(*hot.value)))
-
-    keep = [c for c in docs.columns if c != text]
-    own = docs.select(F.struct(*keep).alias("kept"), F.coalesce(text, F.lit("")).alias("whole"))
-
-    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[int], bytes]]:
-        """Texts packed some hundred together, under a key made of their bytes."""
-        for part, data, off in chunks(batches, "whole", PACKED):
-            raw = data.tobytes()
-            yield xxhash.xxh3_64_intdigest(raw, seed=part.num_rows) - (1 << 63), part, off.tolist(), raw
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table = Splitter.of(config.value).words, known()
-        for pack, part, _, _ in packs(batches):
-            words: set[str] = set()
-            for t in part.column(1).to_pylist():
-                words.update(split(t))
-            more = list(words.difference(table))
-            yield pa.RecordBatch.from_arrays([pa.array([pack] * len(more), pa.int64()), pa.array(more, pa.string())], names=["pack", "word"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=6).compress
-        for pack, part, off, raw in packs(batches):
-            kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([pack], pa.int64()), kept, pa.array([off], pa.list_(pa.int64())), pa.array([press(raw)], pa.binary())], names=["pack", "kept", "offsets", "texts"])
-
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get, unpack = Splitter.of(config.value).words, known().get, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for i in range(batch.num_rows):
-                off, texts, words, found = (batch.column(c)[i].as_py() for c in (1, 2, 3, 4))
-                more = dict(zip(words or [], found or []))
-                raw = unpack(texts)
-                out = []
-                for a, b in zip(off, off[1:]):
-                    words_here = split(raw[a:b].decode())
-                    out.append(b"".join([get(w) or more.get(w, b"") for w in words_here] if more else map(get, words_here)))
-                kept = batch.column(0).slice(i, 1).flatten()
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([kept], names=["kept"]).field(0), pa.array(out, pa.binary())], names=["kept", "ids"])
-
-    kind = own.schema["kept"]
-    rare = own.mapInArrow(rest, "pack long, word string").join(table.select("word", "ids"), "word")
-    by_pack = rare.groupBy("pack").agg(F.collect_set(F.struct("word", "ids")).alias("more"))
-    held = own.mapInArrow(packed, T.StructType([T.StructField("pack", T.LongType()), T.StructField("kept", T.ArrayType(kind.dataType)), T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("texts", T.BinaryType())]))
-    both = held.join(by_pack, "pack", "left").select("kept", "offsets", "texts", F.col("more.word").alias("words"), F.col("more.ids").alias("found"))
-    return both.mapInArrow(ids, T.StructType([kind, T.StructField("ids", T.BinaryType())])).select("kept.*", "ids")
+    others = clear(docs.select([c for c in docs.columns if c != text]), "ids").columns
+    held = volumes(docs, text, config)
+    words = held.select(F.col("volume").alias("of"), F.posexplode("words").alias("n", "word"))
+    placed = words.join(word_table(words, config), "word").select("of", "n", "ids")
+
+    def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        unpack, parts = zstandard.ZstdDecompressor().decompress, []
+        for i in range(left.num_rows):
+            size = left["size"][i].as_py()
+            right = right.combine_chunks()
+            if right.num_rows != size:
+                raise ValueError(f"{right.num_rows} of {size} words have ids")
+            ids, first = binary_parts(right["ids"].combine_chunks() if size else pa.array([], pa.binary()))
+            place = np.empty(size, np.int64)
+            place[right["n"].to_numpy()] = np.arange(size)
+            codes = place[np.frombuffer(unpack(left["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()]
+            many = np.diff(first)[codes]
+            tokens = runs(ids, first[:-1][codes], many)
+            cut = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(left["counts"][i].values.to_numpy())])]
+            out = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tokens))])
+            parts.append(pa.table({"kept": left["kept"][i].values, "ids": out}))
+        return pa.concat_tables(parts)
+
+    # both sides by volume: a task holds one volume and the ids of its list
+    both = held.drop("words").groupBy("volume").cogroup(placed.groupBy("of"))
+    out = both.applyInArrow(back, T.StructType([T.StructField("kept", held.schema["kept"].dataType.elementType), T.StructField("ids", T.BinaryType())]))
+    return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(others)], "ids")
 
 
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Replaces `ids` by the text of its pieces, one blank between two; special tokens are kept."""
     spark = rows.sparkSession
+    send(spark)
     config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
-    keep = [c for c in rows.columns if c != ids]
+    others = [c for c in rows.columns if c != ids]
+    names = clear(rows.select(others), to).columns
+
+    def table() -> pa.Array:
+        by_id = Splitter.of(config.value).pieces
+        return pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.string())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Splitter.of(config.value).pieces
+        piece = once("bpe pieces", config.value, table)
         for batch in batches:
-            out = []
-            for b in batch.column(1).to_pylist():
-                a = array("I")
-                a.frombytes(b or b"")
-                out.append(" ".join([piece[i] for i in a]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["kept", to])
-
-    own = rows.select(F.struct(*keep).alias("kept"), ids)
-    return own.mapInArrow(pieces, T.StructType([own.schema["kept"], T.StructField(to, T.StringType())])).select("kept.*", to)
+            every, first = binary_parts(batch.column(1))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + DECODED, "right")) - 1)
+                said = piece.take(pa.array(every[first[lo] : first[hi]].astype(np.int64)))
+                if said.null_count:
+                    raise ValueError("an id without a piece")
+                lists = pa.ListArray.from_arrays(pa.array((first[lo : hi + 1] - first[lo]).astype(np.int32)), said)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pc.binary_join(lists, " ")], names=["kept", "said"])
+                lo = hi
+
+    own = rows.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), ids)
+    out = own.mapInArrow(pieces, T.StructType([own.schema["kept"], T.StructField("said", T.StringType())]))
+    return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)], F.col("said").alias(to))
