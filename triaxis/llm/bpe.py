@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words once. Texts of about `VOLUME` bytes make a volume, whose words become numbers of its own
-list of distinct words. The lists of all volumes meet in one table of distinct words, where each word is encoded
-once; its ids are joined back to the places (volume, number) it came from, and the numbers of a volume's texts are
-replaced by them. So what is shuffled are lists of distinct words, and the most frequent word is one row a volume.
-Decoding joins each id with the vocabulary's table of pieces, which has one row an id and goes to all workers.
+list of distinct words. The table of distinct words is dealt out by ranges of the words' hashes: each volume sends
+one block of its list to each range, where every distinct word is encoded once. A block's ids go back to its volume in
+the order of the block, so they join the numbers by position, and the texts' numbers are replaced by them. What is
+shuffled are compressed lists of distinct words, never the words of the texts; the most frequent word stands once a
+volume. Decoding joins each id with the vocabulary's table of pieces, which has one row an id and goes to all workers.
 
 Null text: no ids. Empty text: no ids. Repeated rows and repeated or null keys: each row has its result. Extra
 columns are passed through; one named like an added column gets underscores at its end. An empty table gives an
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import chunks, clear, materialize, once
+from .common import chunks, clear, materialize, once, text_buffer, word_hashes
 
-#: Bytes of text whose words share a list, and tokens decoded at once.
-VOLUME, DECODED = 16 << 20, 4 << 20
+#: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and tokens
+#: decoded at once.
+VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 8, (32, 1 << 16), 4 << 20
 #: Endings that the tokenizer's pattern parts from the word before them.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -156,22 +158,39 @@ def read_config(spark, path: str) -> str:
         return f.read()
 
 
+def press(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed byte by byte."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unpress(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def list_of(rows: pa.Array) -> pa.Array:
+    """One list of all rows."""
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+
+
 def volumes(docs: DataFrame, text: str, config) -> DataFrame:
     """A table of volumes: volume (its number), kept (rows without their texts), counts (words of each text), codes
-    (the words' numbers, compressed), size and words (the list of distinct words)."""
+    (the words' numbers), ranks (place of each number in the list), size and words (the list, in order of hashes)."""
     others = [c for c in docs.columns if c != text]
     own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = Splitter.of(config.value), TaskContext.get().partitionId() << 32
         kept, counts, found, held = [], [], [], 0
-        press = zstandard.ZstdCompressor(level=3).compress
 
         def out() -> pa.RecordBatch:
-            rows, coded = pa.concat_arrays(kept), pa.concat_arrays(found).dictionary_encode()
-            planes = np.ascontiguousarray(coded.indices.to_numpy().astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([pa.array([number]), row(rows), row(pa.array(np.concatenate(counts))), pa.array([press(planes.tobytes())], pa.binary()), pa.array([len(coded.dictionary)], pa.int32()), row(coded.dictionary)], names=["volume", "kept", "counts", "codes", "size", "words"])
+            coded = pa.concat_arrays(found).dictionary_encode()
+            words, codes = coded.dictionary, coded.indices.to_numpy()
+            order = np.argsort(hashes(words), kind="stable")
+            ranks = np.empty(len(order), np.int64)
+            ranks[order] = np.arange(len(order))
+            columns = [pa.array([number]), list_of(pa.concat_arrays(kept)), list_of(pa.array(np.concatenate(counts))), pa.array([press(codes)], pa.binary()), pa.array([press(ranks)], pa.binary()), pa.array([len(words)], pa.int32()), list_of(words.take(pa.array(order)))]
+            return pa.RecordBatch.from_arrays(columns, names=["volume", "kept", "counts", "codes", "ranks", "size", "words"])
 
         for part, data, _ in chunks(batches, "whole"):
             words, count = own.split(part.column(1).to_pylist())
@@ -185,19 +204,49 @@ def volumes(docs: DataFrame, text: str, config) -> DataFrame:
         if kept:
             yield out()
 
-    kind = T.StructType([T.StructField("volume", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    kind = T.StructType([T.StructField("volume", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("ranks", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
     return materialize(own.mapInArrow(build, kind))
 
 
-def word_table(words: DataFrame, config) -> DataFrame:
-    """(word, ids): every distinct word and its ids, encoded once."""
+def hashes(words: pa.Array) -> np.ndarray:
+    data, off = text_buffer(words)
+    return word_hashes(data, off[:-1], off[1:])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Splitter.of(config.value)
+
+def encoded(held: DataFrame, config) -> DataFrame:
+    """(of, range, sizes, ids): for each volume and range of hashes the ids of its words and how many each has."""
+    ranges = min(RANGES[1], max(RANGES[0], held.count() // VOLUMES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
+            for i in range(batch.num_rows):
+                words = batch.column(1)[i].values
+                at = (hashes(words) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(cut))
+                lists = ["\n".join(words.slice(cut[r], cut[r + 1] - cut[r]).to_pylist()).encode() for r in full.tolist()]  # no word holds a line feed
+                shrink = zstandard.ZstdCompressor(level=3).compress
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), batch.column(0)[i].as_py())), pa.array(full.astype(np.int32)), pa.array([shrink(x) for x in lists], pa.binary())], names=["of", "range", "words"])
 
-    return materialize(words.select("word").distinct().mapInArrow(encode, "word string, ids binary"))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, expand = Splitter.of(config.value), zstandard.ZstdDecompressor().decompress
+        known: dict[str, np.ndarray] = {}
+        current = None
+        for batch in batches:
+            out = []
+            for r, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if r != current:
+                    known, current = {}, r
+                words = expand(data).decode().split("\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, own.encode(new)))
+                found = [known[w] for w in words]
+                out.append((press(np.array([len(x) // 4 for x in found])), press(np.frombuffer(b"".join(found), "<u4"))))
+            sizes, ids = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["of", "range", "sizes", "ids"])
+
+    dealt = held.select("volume", "words").mapInArrow(deal, "of long, range int, words binary").repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(encode, "of long, range int, sizes binary, ids binary")
 
 
 def runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -221,29 +270,24 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
     config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
     others = clear(docs.select([c for c in docs.columns if c != text]), "ids").columns
     held = volumes(docs, text, config)
-    words = held.select(F.col("volume").alias("of"), F.posexplode("words").alias("n", "word"))
-    placed = words.join(word_table(words, config), "word").select("of", "n", "ids")
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
-        unpack, parts = zstandard.ZstdDecompressor().decompress, []
+        parts, right = [], right.sort_by("range")
+        many = np.concatenate([np.zeros(0, np.uint32), *[unpress(x) for x in right["sizes"].to_pylist()]]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, np.uint32), *[unpress(x) for x in right["ids"].to_pylist()]])
+        first = np.cumsum(many) - many
         for i in range(left.num_rows):
-            size = left["size"][i].as_py()
-            right = right.combine_chunks()
-            if right.num_rows != size:
-                raise ValueError(f"{right.num_rows} of {size} words have ids")
-            ids, first = binary_parts(right["ids"].combine_chunks() if size else pa.array([], pa.binary()))
-            place = np.empty(size, np.int64)
-            place[right["n"].to_numpy()] = np.arange(size)
-            codes = place[np.frombuffer(unpack(left["codes"][i].as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()]
-            many = np.diff(first)[codes]
-            tokens = runs(ids, first[:-1][codes], many)
-            cut = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(left["counts"][i].values.to_numpy())])]
-            out = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tokens))])
+            if len(many) != left["size"][i].as_py():
+                raise ValueError("words without ids")
+            codes = unpress(left["ranks"][i].as_py())[unpress(left["codes"][i].as_py())]
+            tokens = runs(ids, first[codes], many[codes])
+            ends = np.concatenate([[0], np.cumsum(many[codes])])[np.concatenate([[0], np.cumsum(left["counts"][i].values.to_numpy())])]
+            out = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tokens))])
             parts.append(pa.table({"kept": left["kept"][i].values, "ids": out}))
         return pa.concat_tables(parts)
 
     # both sides by volume: a task holds one volume and the ids of its list
-    both = held.drop("words").groupBy("volume").cogroup(placed.groupBy("of"))
+    both = held.drop("words").groupBy("volume").cogroup(encoded(held, config).groupBy("of"))
     out = both.applyInArrow(back, T.StructType([T.StructField("kept", held.schema["kept"].dataType.elementType), T.StructField("ids", T.BinaryType())]))
     return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(others)], "ids")
 
