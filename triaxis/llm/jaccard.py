@@ -13,10 +13,10 @@ intersection over union is 0.8 or more. The join skips by what sets have in comm
    classes of a list are then compared in the same way, each by its most central set with the largest class.
 3. Only pairs of classes that still meet in a list go on, by their central sets. An entry is skipped where it leaves
    too little of the sets to reach the overlap (position skip), sizes differ too much, or the parities of the
-   shingles in 512 cells show that too many differ. Jaccard distance is a metric, so the answers of members
-   follow from those of the similar central sets: where these are further apart than 0.2 plus both radii, no
-   members can link. Else members are compared with the other class's central set, which links the classes
-   or rules members out, and only what is left over is compared member by member.
+   shingles in 512 cells show that too many differ. Jaccard distance is a metric, so classes whose central sets are
+   further apart than 0.2 plus both radii have no link. Of the others, the sets of the smaller class ask in the
+   larger one: they are compared with its central set, and the answers of its members are derived incrementally from
+   this one answer by the few shingles in which members and asking set differ from it (see `derived`).
 
 Every pair that can link is compared by whole sets or excluded by a bound, so no link is lost. The list of
 frequent shingles (at most `MAX_FREQUENT`) only orders shingles; any order gives the same links.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ MAX_FREQUENT, FREQUENT, PACKED = 100_000, 48, 1 << 19
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 FLAG = np.uint32(1 << 31)
+#: Sets with the most copies, whose rows are joined without a shuffle.
+HOT_SETS = 1000
 #: Cells whose parities bound the overlap of two sets.
 BITS = 512
 
@@ -237,6 +239,41 @@ def distance() -> Column:
     return 1 - F.col("both") / (F.col("nx") + F.col("ny") - F.col("both"))
 
 
+def differences(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """pairs (x, y): diff, the shingles that only one of both sets has; the distance d; and whether they link, which is
+    cost <= room: cost is 100 for each shingle that x lacks and `percent` for each that y lacks."""
+    left = sets.select(F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
+    right = sets.select(F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
+    met = pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "ny", F.array_except("ty", "tx").alias("gone"), F.array_except("tx", "ty").alias("new"))
+    both = F.col("ny") - F.size("gone")
+    return met.select("x", "y", (100 * F.size("gone") + percent * F.size("new")).alias("cost"), ((100 - percent) * F.col("ny")).alias("room"), (1 - both / (F.col("nx") + F.size("gone"))).alias("d"), F.concat("gone", "new").alias("diff"))
+
+
+def derived(asking: DataFrame, rays: DataFrame, percent: int) -> DataFrame:
+    """(base, other) for which an asking set of `other` links with a member of `base`.
+
+    Let c be the central set of `base`, a member x and an asking set y differ from it by X and Y. They share
+    |c| less the shingles that either lacks, more |X and Y|; so they link where (100 + percent) * |X and Y| is x's
+    cost and y's excess (cost over room) at least. y does not link with c, so its excess is over 0, and X and Y must meet.
+    Shingles that one side alone has go first, with all sets that have too few others left; then the sets meet
+    by the rarest shingles of what is left, by as many as the overlap that is due makes necessary."""
+    due = lambda cost, excess: F.ceil((F.col(cost) + F.col(excess)) / (100 + percent))
+    least = asking.groupBy("base").agg(F.min("excess").alias("least"))
+    members = rays.withColumnRenamed("y", "base").join(least, "base").select("base", "x", "cost", "least", "diff")
+    ask = asking.select("base", "sid", "excess", F.explode("diff").alias("e"))
+    have = members.select("base", "x", due("cost", "least").alias("due"), "cost", F.explode("diff").alias("e"))
+    count = lambda key: F.count("*").over(Window.partitionBy("base", key))
+    have = materialize(have.join(ask.select("base", "e").distinct(), ["base", "e"], "left_semi").withColumn("left", count("x")).where("left >= due"))
+    cheap = have.groupBy("base").agg(F.min("cost").alias("cheap"))
+    ask = ask.join(have.select("base", "e").distinct(), ["base", "e"], "left_semi").join(cheap, "base").withColumn("due", due("cheap", "excess"))
+    ask = materialize(ask.withColumn("left", count("sid")).where("left >= due"))
+    often = have.groupBy("base", "e").agg(F.count("*").alias("f")).join(ask.groupBy("base", "e").agg(F.count("*").alias("g")), ["base", "e"]).select("base", "e", (F.col("f") * F.col("g")).alias("f"))
+    head = lambda rows, key: rows.join(often, ["base", "e"], "left").na.fill(0, ["f"]).withColumn("at", F.row_number().over(Window.partitionBy("base", key).orderBy("f", "e"))).where("at <= left - due + 1").select("base", key, "e")
+    pairs = head(have, "x").join(head(ask, "sid"), ["base", "e"]).select("base", "x", "sid").distinct()
+    met = pairs.join(members.select("base", "x", "cost", F.col("diff").alias("dx")), ["base", "x"]).join(asking.withColumnRenamed("diff", "dy"), ["base", "sid"])
+    return met.where((100 + percent) * F.size(F.array_intersect("dx", "dy")) >= F.col("cost") + F.col("excess")).select("base", "other").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node but the least of its component, and that least node; alternating star contraction."""
     e = materialize(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct())
@@ -305,31 +342,28 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     alike = F.col("many") | F.col("many_") | may_link("bits", "bits_", "lo", "lo_", percent)
     meet = materialize(entry.join(other, "token").where((F.col("cls") < F.col("cls_")) & reach & sizes & alike).select("token", "cls", "cls_"))
     pairs = materialize(verify(sets, meet.select(F.col("cls").alias("x"), F.col("cls_").alias("y")).distinct()).select(F.col("x").alias("cls"), F.col("y").alias("cls_"), distance().alias("d"), links(percent).alias("link")))
-    # how far the members of those classes are from their central sets; a class of one set has no radius
+    # how the members of those classes differ from their central sets; a class of one set has no radius
     open_pairs = pairs.where(~F.col("link"))
     wanted = open_pairs.select("cls").unionByName(open_pairs.select(F.col("cls_").alias("cls"))).distinct()
     spokes = placed.where("many and sid <> cls").join(wanted, "cls").select(F.col("sid").alias("x"), F.col("cls").alias("y"))
-    radius = materialize(verify(sets, spokes).groupBy("y").agg(F.max(distance()).alias("r")))
-    near = open_pairs.join(radius.select(F.col("y").alias("cls"), F.col("r").alias("r")), "cls", "left").join(radius.select(F.col("y").alias("cls_"), F.col("r").alias("r_")), "cls_", "left").na.fill(0.0, ["r", "r_"])
+    rays = materialize(differences(sets, spokes, percent))
+    radius = materialize(rays.groupBy("y").agg(F.max("d").alias("r"), F.count("*").alias("k")))
+    side = lambda s: radius.select(F.col("y").alias(f"cls{s}"), F.col("r").alias(f"r{s}"), F.col("k").alias(f"k{s}"))
+    near = open_pairs.join(side(""), "cls", "left").join(side("_"), "cls_", "left").na.fill(0.0, ["r", "r_"]).na.fill(0, ["k", "k_"])
     far = 1 - percent / 100 + 1e-9
-    near = materialize(near.where((F.col("r") + F.col("r_") > 0) & (F.col("d") <= far + F.col("r") + F.col("r_"))).select("cls", "cls_", "r", "r_"))
-    # their members against the central set of the other class: a link, or a distance that rules its members out
-    shared = meet.join(near, ["cls", "cls_"])
-    shared = shared.select("token", "cls", "cls_", "r_").unionByName(shared.select("token", F.col("cls_").alias("cls"), F.col("cls").alias("cls_"), F.col("r").alias("r_")))
-    sides = materialize(shared.join(known.select("token", "cls", "sid"), ["token", "cls"]).select("sid", "cls", "cls_", "r_").distinct())
-    reached = verify(sets, sides.select(F.col("sid").alias("x"), F.col("cls_").alias("y")).distinct()).select(F.col("x").alias("sid"), F.col("y").alias("cls_"), distance().alias("d"), links(percent).alias("link"))
-    sides = materialize(sides.join(reached, ["sid", "cls_"]).where(F.col("d") <= far + F.col("r_")).select("sid", "cls", "cls_", "link"))
-    direct = sides.where("link").select("cls", "cls_").distinct()
-    ordered = direct.select(F.least("cls", "cls_").alias("cls"), F.greatest("cls", "cls_").alias("cls_")).distinct()
-    # what is left: members against members
-    open_sides = sides.join(ordered.unionByName(ordered.select(F.col("cls_").alias("cls"), F.col("cls").alias("cls_"))), ["cls", "cls_"], "left_anti")
-    rows = open_sides.join(known.select("token", "sid", "n", "rest"), "sid")
-    left = rows.where("cls < cls_").select("token", "cls", "cls_", F.col("sid").alias("x"), "n", "rest")
-    right = rows.where("cls > cls_").select("token", F.col("cls_").alias("cls"), F.col("cls").alias("cls_"), F.col("sid").alias("y"), F.col("n").alias("n_"), F.col("rest").alias("rest_"))
-    reach = (100 + percent) * F.least("rest", "rest_") >= percent * (F.col("n") + F.col("n_"))
-    more = materialize(left.join(right, ["token", "cls", "cls_"]).where(reach & fits(F.col("n"), F.col("n_"))).select("x", "y", "cls", "cls_").distinct())
-    linked = compared(more.select("x", "y")).join(more, ["x", "y"]).select("cls", "cls_")
-    edges = pairs.where("link").select("cls", "cls_").unionByName(ordered).unionByName(linked)
+    near = near.where((F.col("r") + F.col("r_") > 0) & (F.col("d") <= far + F.col("r") + F.col("r_")))
+    pick = lambda a, b, name: F.when(F.col("k_") > F.col("k"), F.col(b)).otherwise(F.col(a)).alias(name)
+    near = materialize(near.select(pick("cls", "cls_", "base"), pick("cls_", "cls", "other"), "d", pick("r", "r_", "r")))
+    # the sets of the smaller class that may reach into the larger one ask there: they link with its central set or not
+    members = rays.select(F.col("y").alias("other"), F.col("x").alias("sid"), F.col("d").alias("own"))
+    asks = near.select("base", "other", F.col("other").alias("sid"), "r").unionByName(near.join(members, "other").where(F.col("d") - F.col("own") <= far + F.col("r")).select("base", "other", "sid", "r"))
+    told = differences(sets, asks.select(F.col("sid").alias("x"), F.col("base").alias("y")), percent)
+    told = materialize(asks.join(told.select(F.col("x").alias("sid"), F.col("y").alias("base"), "cost", "room", "d", "diff"), ["sid", "base"]).where(F.col("d") <= far + F.col("r")))
+    direct = told.where(F.col("cost") <= F.col("room")).select("base", "other").distinct()
+    asking = materialize(told.where(F.col("cost") > F.col("room")).join(direct, ["base", "other"], "left_anti").select("base", "other", "sid", (F.col("cost") - F.col("room")).alias("excess"), "diff"))
+    # the answers of members follow from that of the central set and from what both differ from it in
+    linked = derived(asking, rays, percent)
+    edges = pairs.where("link").select("cls", "cls_").unionByName(direct.unionByName(linked).toDF("cls", "cls_"))
     joined = components(edges.select(F.col("cls").alias("x"), F.col("cls_").alias("y"))).select(F.col("a").alias("cls"), F.col("b").alias("top"))
     final = materialize(placed.join(joined, "cls", "left").select("sid", F.coalesce("top", "cls").alias("top")))
     least = final.groupBy("top").agg(F.min("sid").alias("label"), F.count("*").alias("k")).where("k > 1").select("top", "label")
@@ -341,7 +375,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     send(docs.sparkSession)
     found = heads(docs, key, text, percent)
     rows = found.where("kind = 2").select(F.col("k").alias(key), F.col("v").alias("n"), "a", "b", "ref")
-    least = rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("a", "b", "n").agg(F.min(key).alias("sid"))
+    least = rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("a", "b", "n").agg(F.min(key).alias("sid"), F.count("*").alias("copies"))
     shared = found.where("kind = 0").groupBy(F.col("k").alias("ref")).agg(F.sum("v").alias("shared"))
     smallest = F.ceil(F.col("n") * percent / 100)
     asked = F.greatest(F.lit(1), F.ceil(smallest / 10))
@@ -349,8 +383,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     chosen = own.join(shared, "ref").where(F.col("shared") >= asked).select("sid", "a", "b")
     sets = sorted_sets(docs, chosen, found.where("kind = 1").select("k", "v"), key, text)
     label = materialize(classes(sets, percent))
-    named = least.join(label, "sid", "left").select("a", "b", "n", F.coalesce("label", "sid").alias("component_id"))
-    out = rows.join(named, ["a", "b", "n"], "left")
+    named = materialize(least.join(label, "sid", "left").select("a", "b", "n", "copies", F.coalesce("label", "sid").alias("component_id")))
+    # sets that many rows have are few, so these rows need no shuffle
+    hot = F.broadcast(named.orderBy(F.desc("copies"), "component_id").limit(HOT_SETS).select("a", "b", "n", "component_id"))
+    most = rows.join(hot, ["a", "b", "n"])
+    others = rows.join(hot.drop("component_id"), ["a", "b", "n"], "left_anti").join(named.drop("copies"), ["a", "b", "n"], "left")
+    out = most.unionByName(others)
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 
