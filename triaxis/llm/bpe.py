@@ -3,7 +3,7 @@
 Texts are split into words once. Texts of about `VOLUME` bytes make a volume, whose words become numbers of its own
 list of distinct words. The table of distinct words is dealt out by ranges of the words' hashes: each volume sends
 one block of its list to each range, where every distinct word is encoded once. A block's ids go back to its volume in
-the order of the block, so they join the numbers by position, and the texts' numbers are replaced by them. What is
+the order of hashes, so they join the numbers by position, and the texts' numbers are replaced by them. What is
 shuffled are compressed lists of distinct words, never the words of the texts; the most frequent word stands once a
 volume. Decoding joins each id with the vocabulary's table of pieces, which has one row an id and goes to all workers.
 
@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from ..workers import send
 from .common import chunks, clear, materialize, once, text_buffer, word_hashes
 
-#: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and tokens
-#: decoded at once.
-VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 8, (32, 1 << 16), 4 << 20
+#: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and words
+#: or tokens put together at once.
+VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 8, (32, 1 << 16), 1 << 20
 #: Endings that the tokenizer's pattern parts from the word before them.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -54,7 +54,6 @@ class Splitter:
         self.tokenizer.no_padding()
         model = json.loads(config)
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.pieces: dict[int, str] = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.by_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.kind = np.full(0xD7A5, self.UNSAFE, np.uint8)  # the last stands for all characters beyond
         for c in regex.findall(f"[{self.SAFE}]", "".join(map(chr, range(0xD7A4)))):
@@ -175,7 +174,7 @@ def list_of(rows: pa.Array) -> pa.Array:
 
 def volumes(docs: DataFrame, text: str, config) -> DataFrame:
     """A table of volumes: volume (its number), kept (rows without their texts), counts (words of each text), codes
-    (the words' numbers), ranks (place of each number in the list), size and words (the list, in order of hashes)."""
+    (the words' numbers), ranks (place of each number in the order of the words' hashes), size and words (the list, in its own order)."""
     others = [c for c in docs.columns if c != text]
     own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
@@ -186,10 +185,13 @@ def volumes(docs: DataFrame, text: str, config) -> DataFrame:
         def out() -> pa.RecordBatch:
             coded = pa.concat_arrays(found).dictionary_encode()
             words, codes = coded.dictionary, coded.indices.to_numpy()
-            order = np.argsort(hashes(words), kind="stable")
-            ranks = np.empty(len(order), np.int64)
-            ranks[order] = np.arange(len(order))
-            columns = [pa.array([number]), list_of(pa.concat_arrays(kept)), list_of(pa.array(np.concatenate(counts))), pa.array([press(codes)], pa.binary()), pa.array([press(ranks)], pa.binary()), pa.array([len(words)], pa.int32()), list_of(words.take(pa.array(order)))]
+            often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words have small numbers
+            words, codes = words.take(pa.array(often)), np.argsort(often)[codes]
+            by_name = pc.sort_indices(words).to_numpy()  # names in order compress well
+            words = words.take(pa.array(by_name))
+            ranks = np.empty(len(words), np.int64)
+            ranks[by_name[np.argsort(hashes(words), kind="stable")]] = np.arange(len(words))
+            columns = [pa.array([number]), list_of(pa.concat_arrays(kept)), list_of(pa.array(np.concatenate(counts))), pa.array([press(codes)], pa.binary()), pa.array([press(ranks)], pa.binary()), pa.array([len(words)], pa.int32()), list_of(words)]
             return pa.RecordBatch.from_arrays(columns, names=["volume", "kept", "counts", "codes", "ranks", "size", "words"])
 
         for part, data, _ in chunks(batches, "whole"):
@@ -214,7 +216,8 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 
 def encoded(held: DataFrame, config) -> DataFrame:
-    """(of, range, sizes, ids): for each volume and range of hashes the ids of its words and how many each has."""
+    """(of, range, sizes, ids): for each volume and range of hashes the ids of its words, in the order of hashes, and
+    how many each has."""
     ranges = min(RANGES[1], max(RANGES[0], held.count() // VOLUMES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +225,7 @@ def encoded(held: DataFrame, config) -> DataFrame:
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].values
                 at = (hashes(words) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                words, at = words.take(pa.array(np.argsort(at, kind="stable"))), np.sort(at)
                 cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(cut))
                 lists = ["\n".join(words.slice(cut[r], cut[r + 1] - cut[r]).to_pylist()).encode() for r in full.tolist()]  # no word holds a line feed
@@ -240,7 +244,7 @@ def encoded(held: DataFrame, config) -> DataFrame:
                 words = expand(data).decode().split("\n")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, own.encode(new)))
-                found = [known[w] for w in words]
+                found = [known[words[i]] for i in np.argsort(hashes(pa.array(words, pa.string())), kind="stable")]
                 out.append((press(np.array([len(x) // 4 for x in found])), press(np.frombuffer(b"".join(found), "<u4"))))
             sizes, ids = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["of", "range", "sizes", "ids"])
@@ -279,11 +283,17 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
         for i in range(left.num_rows):
             if len(many) != left["size"][i].as_py():
                 raise ValueError("words without ids")
-            codes = unpress(left["ranks"][i].as_py())[unpress(left["codes"][i].as_py())]
-            tokens = runs(ids, first[codes], many[codes])
-            ends = np.concatenate([[0], np.cumsum(many[codes])])[np.concatenate([[0], np.cumsum(left["counts"][i].values.to_numpy())])]
-            out = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(tokens))])
-            parts.append(pa.table({"kept": left["kept"][i].values, "ids": out}))
+            codes, rank, counts = unpress(left["codes"][i].as_py()), unpress(left["ranks"][i].as_py()), left["counts"][i].values.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            lo = 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED, "right")) - 1)
+                at = rank[codes[ends[lo] : ends[hi]]]
+                size = many[at]
+                cut = np.concatenate([[0], np.cumsum(size)])[ends[lo : hi + 1] - ends[lo]]
+                out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(runs(ids, first[at], size))])
+                parts.append(pa.table({"kept": left["kept"][i].values.slice(lo, hi - lo), "ids": out}))
+                lo = hi
         return pa.concat_tables(parts)
 
     # both sides by volume: a task holds one volume and the ids of its list
@@ -292,20 +302,24 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
     return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(others)], "ids")
 
 
+def piece_table(config: str) -> pa.Array:
+    """The piece of each id, by id."""
+    from tokenizers import Tokenizer
+
+    by_id = {i: p for p, i in Tokenizer.from_str(config).get_vocab(with_added_tokens=True).items()}
+    return pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.string())
+
+
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Replaces `ids` by the text of its pieces, one blank between two; special tokens are kept."""
     spark = rows.sparkSession
     send(spark)
-    config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
+    table = spark.sparkContext.broadcast(piece_table(read_config(spark, tokenizer_path)))
     others = [c for c in rows.columns if c != ids]
     names = clear(rows.select(others), to).columns
 
-    def table() -> pa.Array:
-        by_id = Splitter.of(config.value).pieces
-        return pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.string())
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = once("bpe pieces", config.value, table)
+        piece = table.value
         for batch in batches:
             every, first = binary_parts(batch.column(1))
             lo = 0
