@@ -8,8 +8,9 @@ best k of all its blocks; the lists of the workers are merged per query. Ties go
 Queries are handed to the workers in blocks of at most `QUERY_BYTES`, each with a pass over the candidates,
 so any number of queries works. Vectors that are null or hold null or non-finite components take no part,
 neither as query nor as candidate. Dimensions that a vector lacks have weight 0. A candidate with the
-query's own id is not its answer. Repeated candidate rows are answers each. Components beyond the range of
-64-bit integers or scores beyond it raise an error. Empty tables give no rows; extra columns are not read.
+query's own id is not its answer. Repeated candidate rows are answers each; query rows that share an id are one
+query, with the least of their vectors. Blocks whose scores may leave 64 bits are counted in integers of any size;
+only an answer whose score leaves 64 bits raises an error. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,20 +38,24 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & F.forall(vector, good)
 
 
-def integers(vector: str, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+def scaled(vector: str, scale: int = SCALE) -> Column:
+    return F.transform(vector, lambda x: x.cast("double") * F.lit(float(scale)))
 
 
 def matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    """Rows of integer vectors, filled up with zeros."""
+    """Rows of the floors of vectors, filled up with zeros; integers of any size where 64 bits may not do."""
     offsets = column.offsets.to_numpy().astype(np.int64)
-    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    values = np.floor(column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+    if np.abs(values).max(initial=0) < 2.0**62:
+        values = values.astype(np.int64)
+    else:
+        values = np.array([int(v) for v in values.tolist()], object)
     offsets = offsets - offsets[0]
     size = np.diff(offsets)
     wide = dims if dims is not None else int(size.max(initial=0))
     if len(size) and (size == wide).all():
-        return values.reshape(len(size), wide).astype(np.int64)
-    out = np.zeros((len(size), wide), np.int64)
+        return values.reshape(len(size), wide)
+    out = np.zeros((len(size), wide), values.dtype)
     row = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(values)) - np.repeat(offsets[:-1], size)
     fits = at < wide
@@ -68,31 +73,42 @@ class Best:
         self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(query_ids)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if self.largest * int(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) >= 1 << 62:
-            raise OverflowError("scores beyond 64 bits")
-        postings = np.ascontiguousarray(vectors.T)
+        wide = self.largest * int(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) >= 1 << 62
+        kind = object if wide else np.int64
+        postings, queries = np.ascontiguousarray(vectors.T).astype(kind), self.queries.astype(kind)
+        by_id = np.argsort(ids, kind="stable")
+        own = [np.searchsorted(ids[by_id], self.query_ids, side) for side in ("left", "right")]
         for q in range(0, len(self.query_ids), QUERIES_AT_ONCE):
-            rows = self.queries[q : q + QUERIES_AT_ONCE]
-            scores = np.zeros((len(rows), len(ids)), np.int64)
+            rows = queries[q : q + QUERIES_AT_ONCE]
+            scores = np.zeros((len(rows), len(ids)), kind)
             for term in np.flatnonzero(rows.any(axis=0)):
                 some = np.flatnonzero(rows[:, term])
                 scores[some] += rows[some, term][:, None] * postings[term][None, :]
-            least = np.partition(scores, len(ids) - self.k - 1, axis=1)[:, len(ids) - self.k - 1] if len(ids) > self.k + 1 else np.full(len(rows), np.iinfo(np.int64).min)
             for i in range(len(rows)):
-                at = np.flatnonzero(scores[i] >= least[i])
-                at = at[ids[at] != self.query_ids[q + i]]
-                all_ids = np.concatenate([self.ids[q + i], ids[at]])
-                all_scores = np.concatenate([self.scores[q + i], scores[i][at]])
+                rest = np.delete(np.arange(len(ids)), by_id[own[0][q + i] : own[1][q + i]]) if own[0][q + i] < own[1][q + i] else np.arange(len(ids))
+                score = scores[i][rest]
+                if len(rest) > self.k and not wide:
+                    at = np.flatnonzero(score >= np.partition(score, len(rest) - self.k)[len(rest) - self.k])
+                    rest, score = rest[at], score[at]
+                all_ids = np.concatenate([self.ids[q + i], ids[rest]])
+                all_scores = np.concatenate([self.scores[q + i], score])
                 top = np.lexsort((all_ids, -all_scores))[: self.k]
                 self.ids[q + i], self.scores[q + i] = all_ids[top], all_scores[top]
 
+    def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, candidate and score of all."""
+        every = np.concatenate(self.scores)
+        if every.dtype == object and any(abs(x) >= 1 << 63 for x in every.tolist()):
+            raise OverflowError("an answer's score is beyond 64 bits")
+        return np.repeat(self.query_ids, [len(x) for x in self.ids]), np.concatenate(self.ids), every.astype(np.int64)
+
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), key and score of the k best candidates of every query."""
     spark = vectors.sparkSession
     send(spark)
-    rows = vectors.where(usable(vector)).select(F.col(key).alias("id"), integers(vector, scale).alias("v"), is_query.alias("asks"))
-    asking = rows.where("asks").select("id", "v")
+    rows = vectors.where(usable(vector)).select(F.col(key).alias("id"), scaled(vector, scale).alias("v"), is_query.alias("asks"))
+    asking = rows.where("asks and id is not null").groupBy("id").agg(F.min("v").alias("v"))
     size = asking.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     dims = size["d"] or 0
     passes = max(1, -(-size["n"] * 8 * max(dims, 1) // query_bytes))
@@ -109,9 +125,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
                 for at in range(0, batch.num_rows, BLOCK_ROWS):
                     part = batch.slice(at, BLOCK_ROWS)
                     best.add(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(part.column(1), dims))
-            n = [len(x) for x in best.ids]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.query_ids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "id", "score"])
+            if any(map(len, best.ids)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.answers()], names=["query_id", "id", "score"])
 
         one = rows.where(F.col("id").isNotNull()).select("id", "v").mapInArrow(score, "query_id long, id long, score long")
         found = one if found is None else found.unionByName(one)
