@@ -133,8 +133,8 @@ def test_language(spark):
     texts = [None, "", "12 %", "the of and the", "und der ein und", "\u6f22"]
     got = by_id(lang_id.predict(documents(spark, texts), model).drop("score").withColumnRenamed("lang_pred", "l"))
     assert [got[i].l for i in range(5)] == ["und", "und", "und", "en", "de"] and got[5].l in ("en", "de")
-    assert lang_id.train(spark.createDataFrame([(1, None, "en"), (2, "a", None)], "doc_id long, text string, lang string")) is None
-    assert {r.lang_pred for r in lang_id.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), None).collect()} == {"und"}
+    assert lang_id.train(spark.createDataFrame([(1, None, "en"), (2, "a", None)], "doc_id long, text string, lang string")) == []
+    assert {r.lang_pred for r in lang_id.predict(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), []).collect()} == {"und"}
 
 
 def test_language_sample_counts_distinct_texts(spark):
