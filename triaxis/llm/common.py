@@ -56,6 +56,19 @@ def clear(docs: DataFrame, *added: str) -> DataFrame:
     return docs.toDF(*names) if names != docs.columns else docs
 
 
+#: Keys whose rows are joined without a shuffle.
+HOT_KEYS = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Left join of rows with a (written) table that has each key once and the number of its rows in `weight`. Rows of
+    the `HOT_KEYS` heaviest keys meet a broadcast of so many rows; only the others are shuffled."""
+    hot = table.orderBy(F.desc(weight), *on).limit(HOT_KEYS).drop(weight)
+    most = rows.join(F.broadcast(hot), on)
+    others = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(table.drop(weight), on, "left")
+    return most.unionByName(others)
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of a key written as text, modulo n (null for a null key)."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n

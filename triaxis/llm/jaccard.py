@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import BASE, LOWER, chunks, materialize, mix, once, word_hashes, word_spans
+from .common import BASE, LOWER, chunks, join_hot, materialize, mix, once, word_hashes, word_spans
 
 N, PERCENT = 5, 80
 #: Shingles known as frequent at most; from how many documents on a shingle is; shingles packed at once.
@@ -47,8 +47,6 @@ MAX_FREQUENT, FREQUENT, PACKED = 100_000, 48, 1 << 19
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 FLAG = np.uint32(1 << 31)
-#: Sets with the most copies, whose rows are joined without a shuffle.
-HOT_SETS = 1000
 #: Cells whose parities bound the overlap of two sets.
 BITS = 512
 
@@ -384,11 +382,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     sets = sorted_sets(docs, chosen, found.where("kind = 1").select("k", "v"), key, text)
     label = materialize(classes(sets, percent))
     named = materialize(least.join(label, "sid", "left").select("a", "b", "n", "copies", F.coalesce("label", "sid").alias("component_id")))
-    # sets that many rows have are few, so these rows need no shuffle
-    hot = F.broadcast(named.orderBy(F.desc("copies"), "component_id").limit(HOT_SETS).select("a", "b", "n", "component_id"))
-    most = rows.join(hot, ["a", "b", "n"])
-    others = rows.join(hot.drop("component_id"), ["a", "b", "n"], "left_anti").join(named.drop("copies"), ["a", "b", "n"], "left")
-    out = most.unionByName(others)
+    out = join_hot(rows, named, ["a", "b", "n"], "copies")
     return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
 
 

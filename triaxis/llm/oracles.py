@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat import CLOSE, HEAD, ROLES
 from .queries import URL_RULES
-from .url_filter import MAX_STRENGTH, MIN_STRENGTH, THRESHOLD, TWO_LABELS, Z
+from .url_filter import MAX_STRENGTH, MIN_STRENGTH, THRESHOLD, COUNTRY, NUMBERS, PORT, Z
 
 LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SAID = "\\### Assistant: </turn> ok"
@@ -54,8 +54,9 @@ def topk() -> str:
 
 
 def url_filter() -> str:
-    two = ", ".join(f"'{t}'" for t in TWO_LABELS)
-    last = lambda n: f"array_to_string(string_split(host, '.')[-{n}:], '.')"
+    name = f"regexp_replace(host, '{PORT}', '')"
+    last = lambda n: f"array_to_string(string_split({name}, '.')[-{n}:], '.')"
+    tail = lambda n: f"CASE WHEN regexp_matches({name}, '{NUMBERS}') THEN {name} WHEN regexp_matches({name}, '{COUNTRY}') THEN {last(n + 2)} ELSE {last(n + 1)} END"
     rules = " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r in sorted(URL_RULES, key=lambda r: (-len(r), r)))
     verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in URL_RULES.items()) + " END"
     spread, most = "sum(pow(x / n - m, 2))", "sum((1 - 1 / n) * m * (1 - m))"
@@ -63,7 +64,7 @@ def url_filter() -> str:
     k = f"CASE WHEN {most} IS NULL OR {most} <= 0 THEN {MIN_STRENGTH} WHEN {rho} <= 0 THEN {MAX_STRENGTH} ELSE greatest({MIN_STRENGTH}, least({MAX_STRENGTH}, 1 / nullif({rho}, 0) - 1)) END"
     return f"""WITH p AS (SELECT page_id, coalesce({LOW.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
  o AS (SELECT *, CASE {rules} END AS rule FROM p), j AS (SELECT *, {verdict} AS own FROM o),
- h AS (SELECT host, CAST(count(own) AS DOUBLE) AS n, CAST(count(*) FILTER (own = 'block') AS DOUBLE) AS x, CASE WHEN {last(2)} IN ({two}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({two}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM j GROUP BY host),
+ h AS (SELECT host, CAST(count(own) AS DOUBLE) AS n, CAST(count(*) FILTER (own = 'block') AS DOUBLE) AS x, {tail(1)} AS domain, {tail(0)} AS suffix FROM j GROUP BY host),
  dm AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY 1, 2), sf AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM dm GROUP BY 1),
  s1 AS (SELECT *, (SELECT (sum(x) + 1) / (sum(n) + 2) FROM sf) AS m FROM sf), sk AS (SELECT {k} AS k FROM s1 WHERE n > 0), s2 AS (SELECT suffix, (x + k * m) / (n + k) AS post FROM s1, sk),
  d1 AS (SELECT dm.*, post AS m FROM dm JOIN s2 USING (suffix)), dk AS (SELECT {k} AS k FROM d1 WHERE n > 0), d2 AS (SELECT domain, (x + k * m) / (n + k) AS post FROM d1, dk),
