@@ -17,7 +17,8 @@ until the label has `EXAMPLES` examples or no rows are left.
 
 A text without any term of an example (null and empty texts among them) has no evidence and one constant score:
 the share of the label among the examples of which no term has a chi-squared over that sum, and one more at the base share. Without labelled rows every score is 0. All texts are scored whole. Repeated rows keep their
-rows, extra columns their names; an empty table gives no rows. Labels that are null teach nothing.
+rows; extra columns keep their names, but one named like an added column gets underscores at its end. Keys are of any
+type. An empty table gives no rows. Labels that are null teach nothing.
 """
 
 from __future__ import annotations
@@ -32,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workers import send
-from .common import LOWER, chunks, once, text_buffer, word_hashes, word_spans
+from .common import LOWER, chunks, clear, once, text_buffer, word_hashes, word_spans
 from .decontam import IS_WORD
 from .jaccard import shingle_sets
 
@@ -119,7 +121,8 @@ class Lookup:
 class Index:
     """Labelled examples as unit TF-IDF vectors: postings of rare terms, blocks with maxima of frequent ones."""
 
-    def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float], held: Callable[[np.ndarray], tuple[int, np.ndarray]] | None = None) -> None:
+    def __init__(self, ids: list, texts: list[str], labels: np.ndarray, rate: dict[int, float], held: Callable[[np.ndarray], tuple[int, np.ndarray]] | None = None, kind: T.DataType | None = None) -> None:
+        self.kind = kind or T.LongType()  # of ids
         data, off = text_buffer(pa.array(texts, pa.large_string()))
         hashes, doc = terms(data, off)
         n = len(texts)
@@ -283,22 +286,22 @@ def unlike(rows: DataFrame, seen: dict[int, Seen]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Index | None:
     """An index over the bounded sample of the labelled texts."""
-    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
+    own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     if not counts:
         return None
-    own = own.withColumn("p", F.pmod(F.xxhash64(key, F.lit(11)), F.lit(TOP)))
-    fit = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= EXAMPLE_BYTES)).select(key, F.col(text).alias("t"))
+    own = own.withColumn("p", F.pmod(F.xxhash64("k", F.lit(11)), F.lit(TOP)))
+    fit = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= EXAMPLE_BYTES)).select(F.col(key).alias("k"), F.col(text).alias("t"))
     rows: list[tuple] = []
     seen = {v: Seen() for v in sorted(counts)}
     start, width = dict.fromkeys(seen, 0), {v: math.ceil(1.3 * EXAMPLES / counts[v] * TOP) for v in seen}
     while asks := [v for v in seen if seen[v].size < EXAMPLES and start[v] < TOP]:
         few = own.where(" or ".join(f"(y = {v} and p >= {start[v]} and p < {start[v] + width[v]})" for v in asks))
         if rows:
-            got = unlike(fit.join(few, key), seen).toArrow()
+            got = unlike(fit.join(few, "k"), seen).toArrow()
         else:
-            got = fit.join(F.broadcast(few) if not any(start.values()) else few, key).toArrow()  # the first `few` has a bounded number of rows
-        drawn = sorted(zip(got["p"].to_pylist(), got[key].to_pylist(), got["t"].to_pylist(), got["y"].to_pylist()))
+            got = fit.join(F.broadcast(few) if not any(start.values()) else few, "k").toArrow()  # the first `few` has a bounded number of rows
+        drawn = sorted(zip(got["p"].to_pylist(), got["k"].to_pylist(), got["t"].to_pylist(), got["y"].to_pylist()))
         before = {v: seen[v].size for v in asks}
         for (_, k, t, v), least in zip(drawn, sketches(*text_buffer(pa.array([r[2] for r in drawn], pa.large_string())))):
             if seen[v].size < EXAMPLES and not seen[v].near(least):
@@ -312,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows.sort(key=lambda r: r[2])
     y = np.array([r[2] for r in rows])
     rate = {v: max(1, int((y == v).sum())) / c for v, c in counts.items()}
-    return Index([r[0] for r in rows], [r[1] for r in rows], y, rate, lambda found: document_counts(docs, found, text))
+    return Index([r[0] for r in rows], [r[1] for r in rows], y, rate, lambda found: document_counts(docs, found, text), docs.schema[key].dataType)
 
 
 def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
@@ -320,13 +323,15 @@ def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame
     spark = docs.sparkSession
     send(spark)
     shared, token = spark.sparkContext.broadcast(index), uuid.uuid4().hex
-    own = docs.select(F.struct(*docs.columns).alias("kept"), F.col(text).alias("whole"))
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("kept"), F.col(text).alias("whole"))
+    evidence = T.ArrayType(index.kind if index else T.LongType())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = once("toxicity", token, lambda: shared.value)
         for part, data, off in chunks(batches, "whole"):
             value, why = index.score(data, off) if index else (np.zeros(part.num_rows), [[]] * part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(why, pa.list_(pa.int64()))], names=["kept", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(why, to_arrow_type(evidence))], names=["kept", "score", "evidence"])
 
-    schema = T.StructType([T.StructField("kept", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))])
-    return own.mapInArrow(rate, schema).select("kept.*", "score", "evidence")
+    schema = T.StructType([T.StructField("kept", own.schema["kept"].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    names = clear(docs, "score", "evidence").columns
+    return own.mapInArrow(rate, schema).select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)], "score", "evidence")
