@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 written as Parquet and read again. All stages but the last return the columns of documents.
 
 Null and empty texts, and texts without a letter, go in the first stage. Rows that share a doc_id count as one
-document when near copies are joined; rows with a null doc_id stay there. Extra columns are carried to the
+document when near copies are joined; rows with a null doc_id stay there. Extra columns of any name are carried to the
 last stage, which returns doc_id, lang, source and the digests. Empty tables pass through.
 """
 
@@ -18,10 +18,15 @@ from triaxis.llm.common import crc_mod, materialize
 from triaxis.llm.queries import token_digests
 
 
+def own_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, which an operator hands on first and in order (renamed where they clash with its own)."""
+    return found.select(found.columns[: len(docs.columns)]).toDF(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told."""
     model = lang_id.train(docs.where(crc_mod("doc_id", 5) != 0).select("text", "lang"))
-    return lang_id.predict(docs, model).where(lang_id.readable(F.col("lang_pred"))).select(docs.columns)
+    return own_columns(lang_id.predict(docs, model).where(lang_id.readable(F.col("lang_pred"))), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +39,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the stretches that stand elsewhere too; a text of nothing else goes."""
     cut = suffix_dedup.dedup(docs, as_text=True)
-    left = cut.where((F.col("kept_text") != "") | (F.col("n_bytes") == 0))
-    return left.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(docs.columns)
+    left = cut.where(F.col("kept_text").isNull() | (F.col("kept_text") != "") | (F.col("n_bytes") == 0))
+    others = [c for c in docs.columns if c != "text"]
+    kept = left.select(*[F.col(a).alias(c) for a, c in zip(left.columns, others)], F.col("kept_text").alias("text")).select(docs.columns)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items don't contaminate."""
     found = decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontam.contaminated(decontam.n_hit(), F.col("n_words"))).select(docs.columns)
+    return own_columns(found.where(~decontam.contaminated(decontam.n_hit(), F.col("n_words"))), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import chunks, clear, materialize, once, text_buffer, word_hashes
+from .common import chunks, clear, materialize, once, text_buffer, trim, word_hashes
 
 #: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and words
 #: or tokens put together at once.
@@ -248,6 +248,8 @@ def encoded(held: DataFrame, config) -> DataFrame:
                 out.append((press(np.array([len(x) // 4 for x in found])), press(np.frombuffer(b"".join(found), "<u4"))))
             sizes, ids = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["of", "range", "sizes", "ids"])
+        known = {}
+        trim()
 
     dealt = held.select("volume", "words").mapInArrow(deal, "of long, range int, words binary").repartition(ranges, "range").sortWithinPartitions("range")
     return dealt.mapInArrow(encode, "of long, range int, sizes binary, ids binary")
@@ -294,6 +296,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
                 out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((cut * 4).astype(np.int32)), pa.py_buffer(runs(ids, first[at], size))])
                 parts.append(pa.table({"kept": left["kept"][i].values.slice(lo, hi - lo), "ids": out}))
                 lo = hi
+        trim()
         return pa.concat_tables(parts)
 
     # both sides by volume: a task holds one volume and the ids of its list
@@ -331,6 +334,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "de
                 lists = pa.ListArray.from_arrays(pa.array((first[lo : hi + 1] - first[lo]).astype(np.int32)), said)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pc.binary_join(lists, " ")], names=["kept", "said"])
                 lo = hi
+        trim()
 
     own = rows.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), ids)
     out = own.mapInArrow(pieces, T.StructType([own.schema["kept"], T.StructField("said", T.StringType())]))

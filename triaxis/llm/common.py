@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -98,15 +99,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that this worker no longer uses back, as workers wait for later tasks with all they hold."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 _once: dict[str, tuple[str, object]] = {}
 
 
 def once(kind: str, token: str, make):
-    """What make() gives, kept by a worker until the next token of this kind."""
+    """What make() gives, kept by a worker until it is asked for another token or kind."""
     if kind not in _once or _once[kind][0] != token:
-        _once.pop(kind, None)
+        _once.clear()
+        trim()
         _once[kind] = (token, make())
     return _once[kind][1]
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import BASE, LOWER, chunks, join_hot, materialize, mix, once, word_hashes, word_spans
+from .common import BASE, LOWER, chunks, join_hot, materialize, mix, once, trim, word_hashes, word_spans
 
 N, PERCENT = 5, 80
 #: Shingles known as frequent at most; from how many documents on a shingle is; shingles packed at once.
@@ -183,6 +183,7 @@ def heads(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         if shared:
             who, back = np.unique(np.concatenate([s[0] for s in shared]), return_inverse=True)
             yield rows(0, who, np.bincount(back, np.concatenate([s[1] for s in shared]), len(who)).astype(np.int64))
+        trim()
 
     dealt = own.mapInArrow(map_side, packed).repartition(F.col("bucket"))
     return materialize(dealt.mapInArrow(meet, "kind int, k long, v long, a long, b long, ref long"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums
+from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums, trim
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
@@ -189,6 +189,7 @@ def find_runs(packs: DataFrame, span: int, block: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield batch, i, unpack(batch["texts"][i].as_py()), np.array(batch["offsets"][i].as_py(), np.int64)
+        trim()
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, raw, off in texts(batches):
@@ -261,6 +262,7 @@ def find_runs(packs: DataFrame, span: int, block: int) -> DataFrame:
                     held = [table.slice(last)]
         if held:
             yield from whole(merged(held))
+        trim()
 
     def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, part, phrase, times = (table[c].to_numpy() for c in ("gram", "part", "phrase", "times"))
@@ -337,6 +339,7 @@ def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BL
                 else:
                     rest = pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays([rows, pa.array(removed, pa.list_(pa.int32())), rest, pa.array(np.diff(off))], names=["kept", *[f.name for f in own]])
+        trim()
 
     both = packs.join(find_runs(packs, span, block), "pack", "left").select("kept", "offsets", "texts", "runs")
     out = both.mapInArrow(cut, T.StructType([T.StructField("kept", packs.schema["kept"].dataType.elementType), *own]))
