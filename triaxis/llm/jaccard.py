@@ -327,9 +327,9 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = of_class.join(largest, "token").where((F.col("m.sid") != F.col("y")) & fits(F.col("m.n"), F.col("ny"))).select(F.col("m.sid").alias("x"), "y").distinct()
     label = components(found.unionByName(compared(again))).select(F.col("a").alias("sid"), F.col("b").alias("label"))
     # a class goes by its most central set
-    placed = odd.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    center = placed.groupBy("label").agg(F.min(F.struct("odd", "sid"))["sid"].alias("cls"), (F.count("*") > 1).alias("many"))
-    placed = materialize(placed.join(center, "label").select("sid", "cls", "many"))
+    placed = materialize(odd.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    center = materialize(placed.groupBy("label").agg(F.min(F.struct("odd", "sid"))["sid"].alias("cls"), F.count("*").alias("k")).withColumn("many", F.col("k") > 1))
+    placed = materialize(join_hot(placed, center, ["label"], "k").select("sid", "cls", "many"))
     # classes that still meet in a list
     known = materialize(lists.join(placed, "sid").select("token", "cls", "many", "sid", "n", (F.col("n") - F.col("pos")).alias("rest")))
     entry = known.groupBy("token", "cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"), F.first("many").alias("many"))
@@ -365,8 +365,8 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = pairs.where("link").select("cls", "cls_").unionByName(direct.unionByName(linked).toDF("cls", "cls_"))
     joined = components(edges.select(F.col("cls").alias("x"), F.col("cls_").alias("y"))).select(F.col("a").alias("cls"), F.col("b").alias("top"))
     final = materialize(placed.join(joined, "cls", "left").select("sid", F.coalesce("top", "cls").alias("top")))
-    least = final.groupBy("top").agg(F.min("sid").alias("label"), F.count("*").alias("k")).where("k > 1").select("top", "label")
-    return final.join(least, "top").select("sid", "label")
+    least = materialize(final.groupBy("top").agg(F.min("sid").alias("label"), F.count("*").alias("k")).where("k > 1"))
+    return join_hot(final, least, ["top"], "k").where(F.col("label").isNotNull()).select("sid", "label")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
