@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +57,20 @@ def clear(docs: DataFrame, *added: str) -> DataFrame:
     return docs.toDF(*names) if names != docs.columns else docs
 
 
+def apart(docs: DataFrame, text: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs as kept (all other columns) and whole (the text), so that a text goes to a worker once; and what makes rows of
+    them again, with added columns: those of docs in their order, renamed where they clash, with or without the text."""
+    others = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.col(text).alias("whole"))
+
+    def together(found: DataFrame, keep_text: bool = True, **added: Column) -> DataFrame:
+        names = zip(docs.columns, clear(docs, *added).columns)
+        back = [F.col("whole" if c == text else f"kept.c{others.index(c)}").alias(n) for c, n in names if keep_text or c != text]
+        return found.select(*back, *[c.alias(n) for n, c in added.items()])
+
+    return own, together
+
+
 #: Keys whose rows are joined without a shuffle.
 HOT_KEYS = 1000
 

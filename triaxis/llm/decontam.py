@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import LOWER, chunks, clear, materialize, once, text_buffer, word_hashes, word_spans
+from .common import LOWER, apart, chunks, materialize, once, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -202,20 +202,20 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iter
         yield rows["i"].to_pylist(), rows["t"].to_pylist(), k == n - 1
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """Adds n_words, hits (array of the first word and the word after each hit stretch), items (sorted, distinct) and
-    longest (of each of these items the longest verbatim match: item, at, item_at and words, counted in words)."""
+    longest (of each of these items the longest verbatim match: item, at, item_at and words, counted in words); `text` stays unless told otherwise."""
     spark = docs.sparkSession
     send(spark)
     longest = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), *[T.StructField(f, T.LongType()) for f in ("at", "item_at", "words")]]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("longest", longest)]
-    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("kept"), F.col(text).alias("whole"))
+    own, together = apart(docs, text)
     found = own.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
     schema = found.schema
     for turn, (ids, texts, last) in enumerate(blocks(benchmark, item, item_text, block_bytes)):
         shared, token = spark.sparkContext.broadcast((ids, texts)), uuid.uuid4().hex
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, token=token, last=last) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, token=token, drop=last and not keep_text) -> Iterator[pa.RecordBatch]:
             bench = once("benchmark", token, lambda: Benchmark(*shared.value, window=window))
             for part, data, off in chunks(batches, "whole"):
                 count, doc, hit, matched = match(bench, data, off)
@@ -237,14 +237,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                     named.append([{"item": i, "at": at, "item_at": item_at, "words": words} for i, (words, at, item_at) in sorted(best.items())])
                     if hits_before:
                         hits[x] = united(hits_before, hits[x])
-                columns = [part.column(0), pa.nulls(part.num_rows, pa.string()) if last else part.column(1), pa.array(count.astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(named, part.schema.field(4).type)]
+                columns = [part.column(0), pa.nulls(part.num_rows, pa.string()) if drop else part.column(1), pa.array(count.astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(named, part.schema.field(4).type)]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
         if turn:
             found = materialize(found)
         found = found.mapInArrow(find, schema)
-    names = clear(docs, "n_words", "hits", "items", "longest").columns
-    return found.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)], "n_words", "hits", F.col("longest.item").alias("items"), "longest")
+    return together(found, keep_text, n_words=F.col("n_words"), hits=F.col("hits"), items=F.col("longest.item"), longest=F.col("longest"))
 
 
 def n_hit(hits: str = "hits"):

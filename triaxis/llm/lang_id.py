@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..workers import send
-from .common import chunks, clear, materialize, once
+from .common import apart, chunks, materialize, once
 
 ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 16_384
@@ -140,18 +140,18 @@ LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = True
 
 
-def predict(docs: DataFrame, models: list[Model], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds lang_pred, score (the posterior of that language, all equally likely before) and bits (the
-    code length under it); `text` stays."""
+    code length under it); `text` stays unless told otherwise."""
     spark = docs.sparkSession
     send(spark)
-    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("kept"), F.col(text).alias("whole"))
+    own, together = apart(docs, text)
     told = [T.StructField("lang", T.StringType()), T.StructField("all", T.DoubleType()), T.StructField("least", T.DoubleType())]
     found = own.withColumns({"lang": F.lit(None).cast("string"), "all": F.lit(0.0), "least": F.lit(float("inf"))})
     for turn, model in enumerate(models):
         shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-        def guess(batches: Iterator[pa.RecordBatch], shared=shared, token=token, last=turn == len(models) - 1) -> Iterator[pa.RecordBatch]:
+        def guess(batches: Iterator[pa.RecordBatch], shared=shared, token=token, drop=not keep_text and turn == len(models) - 1) -> Iterator[pa.RecordBatch]:
             model = once("lang_id", token, lambda: shared.value)
             for part, data, off in chunks(batches, "whole"):
                 n = part.num_rows
@@ -167,19 +167,14 @@ def predict(docs: DataFrame, models: list[Model], text: str = "text") -> DataFra
                 # the sum of 2 ** -bits over all languages so far, times 2 ** least
                 every = every * np.exp2(np.maximum(least - np.where(np.isinf(low), least, low), -1000.0)) + np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
                 names = [(model.langs[b] if x < y else name) if ok else None for b, x, y, name, ok in zip(best, new, low, names, readable)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(n, pa.string()) if last else part.column(1), pa.array(names, pa.string()), pa.array(every), pa.array(least)], names=["kept", "whole", "lang", "all", "least"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.nulls(n, pa.string()) if drop else part.column(1), pa.array(names, pa.string()), pa.array(every), pa.array(least)], names=["kept", "whole", "lang", "all", "least"])
 
         if turn:
             found = materialize(found)
         found = found.mapInArrow(guess, T.StructType([own.schema["kept"], own.schema["whole"], *told]))
     known = F.col("lang").isNotNull()
-    names = clear(docs, "lang_pred", "score", "bits").columns
-    return found.select(
-        *[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)],
-        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(known, 1 / F.col("all")).otherwise(0.0).alias("score"),
-        F.when(known, F.col("least")).otherwise(0.0).alias("bits"),
-    )
+    score, bits = F.when(known, 1 / F.col("all")).otherwise(0.0), F.when(known, F.col("least")).otherwise(0.0)
+    return together(found, keep_text, lang_pred=F.coalesce("lang", F.lit(UNKNOWN)), score=score, bits=bits)
 
 
 def readable(lang_pred: Column) -> Column:

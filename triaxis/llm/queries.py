@@ -69,7 +69,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(True))
     index = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    scored = toxicity.score(docs, index)
+    scored = toxicity.score(docs, index, keep_text=False)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
@@ -92,7 +92,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"))
+    found = decontam.matches(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     hit = F.col("n_hit")
     return (
         found.select("doc_id", "n_words", decontam.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
@@ -106,7 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(True))
     model = lang_id.train(docs.where(~held_out).select("text", "lang"))
-    return lang_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
+    return lang_id.predict(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workers import send
-from .common import LOWER, chunks, clear, once, text_buffer, word_hashes, word_spans
+from .common import LOWER, apart, chunks, once, text_buffer, word_hashes, word_spans
 from .decontam import IS_WORD
 from .jaccard import shingle_sets
 
@@ -318,20 +318,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Index([r[0] for r in rows], [r[1] for r in rows], y, rate, lambda found: document_counts(docs, found, text), docs.schema[key].dataType)
 
 
-def score(docs: DataFrame, index: Index | None, text: str = "text") -> DataFrame:
-    """Adds score and evidence (ids of the nearest examples)."""
+def score(docs: DataFrame, index: Index | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds score and evidence (ids of the nearest examples); `text` stays unless told otherwise."""
     spark = docs.sparkSession
     send(spark)
     shared, token = spark.sparkContext.broadcast(index), uuid.uuid4().hex
-    own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("kept"), F.col(text).alias("whole"))
+    own, together = apart(docs, text)
     evidence = T.ArrayType(index.kind if index else T.LongType())
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = once("toxicity", token, lambda: shared.value)
         for part, data, off in chunks(batches, "whole"):
             value, why = index.score(data, off) if index else (np.zeros(part.num_rows), [[]] * part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.array(why, to_arrow_type(evidence))], names=["kept", "score", "evidence"])
+            whole = part.column(1) if keep_text else pa.nulls(part.num_rows, pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), whole, pa.array(value), pa.array(why, to_arrow_type(evidence))], names=["kept", "whole", "score", "evidence"])
 
-    schema = T.StructType([T.StructField("kept", own.schema["kept"].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
-    names = clear(docs, "score", "evidence").columns
-    return own.mapInArrow(rate, schema).select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(names)], "score", "evidence")
+    schema = T.StructType([*own.schema, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    return together(own.mapInArrow(rate, schema), keep_text, score=F.col("score"), evidence=F.col("evidence"))
