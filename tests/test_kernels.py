@@ -44,6 +44,45 @@ def test_smoothing_keeps_parabolas():
     assert np.allclose(k.smooth(y, 31), y)
 
 
+def plain_frames(x, size, step, fs):
+    """Power of each frame by least squares and a plain DFT."""
+    w, n, out = k.window("hann", size), np.arange(size), []
+    for a in range(0, len(x) - size + 1, step):
+        part = x[a : a + size]
+        part = (part - np.polyval(np.polyfit(n, part, 1), n)) * w
+        z = np.array([(part * np.exp(-2j * np.pi * n * b / size)).sum() for b in range(size // 2 + 1)])
+        row = np.abs(z) ** 2 / (fs * (w**2).sum())
+        row[1 : -1 if size % 2 == 0 else None] *= 2
+        out.append(row)
+    return np.array(out).T
+
+
+def plain_baseline(x, fs):
+    """x without the parabola that fits the 30 s around each sample; at the ends that of the outermost 30 s."""
+    m, n = int(fs * 15), len(x)
+    out = np.empty(n)
+    for i in range(n):
+        lo = min(max(0, i - m), n - 2 * m - 1)
+        at = np.arange(lo, lo + 2 * m + 1)
+        out[i] = x[i] - np.polyval(np.polyfit(at - lo - m, x[at], 2), i - lo - m)
+    return out
+
+
+def test_spectra_with_padding_and_baseline():
+    """The defaults of all three transforms against plain versions."""
+    fs, x = 4, np.random.default_rng(5).standard_normal(300).cumsum()
+    whole = np.pad(plain_baseline(x, fs), 12)
+    f, t, s = k.stft(x, fs, 8, 2)
+    want = plain_frames(whole, 32, 8, fs)
+    assert np.allclose(s, want) and np.allclose(t, (16 + 8 * np.arange(want.shape[1]) - 12) / fs) and np.allclose(f, np.arange(17) / 8)
+    _, t3, s3 = k.stft_average(x, fs, 3, 8, 2)
+    assert np.allclose(s3, np.array([want[:, i : i + 3].mean(axis=1) for i in range(want.shape[1] - 2)]).T) and np.allclose(t3, t[1:-1])
+    f, t, s = k.welch(x, fs, 8, 2, 4, 2)
+    frames = [whole[a : a + 32] for a in range(0, len(whole) - 31, 8)]
+    assert np.allclose(s, np.array([plain_frames(p, 16, 8, fs).mean(axis=1) for p in frames]).T)
+    assert np.allclose(t, (16 + 8 * np.arange(len(frames)) - 12) / fs)
+
+
 def test_short_signals_give_no_frames():
     assert k.stft(np.ones(5), 10, 2, 1)[2].shape == (11, 0)
     assert k.welch(np.ones(5), 10, 8, 2, 4, 2)[2].shape == (21, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ def by_kernel(df: DataFrame, kernel: Callable[[np.ndarray, object], np.ndarray],
 
 def time_warp(df: DataFrame, key: str, factor: float = 0.1, points: int = 5, seed: int = 0) -> DataFrame:
     def warp(axes: np.ndarray, k: object) -> np.ndarray:
-        rng = np.random.default_rng([seed, abs(hash(str(k))) if not isinstance(k, int) else abs(k)])
+        rng = np.random.default_rng(list(hashlib.md5(f"{seed}:warp:{k}".encode()).digest()))
         return kernels.time_warp(axes, rng.standard_normal(points), factor)
 
     return by_kernel(df, warp, key)

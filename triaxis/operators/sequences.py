@@ -6,20 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.signal import PAD, pad_left, resample
+from ..functions.uniform import uniform
 
 #: Rows of a timeline that share a block; draws meet samples by block.
 BLOCK = 4096
+#: Asked blocks that are sent to the samples; more are shuffled with them.
+FEW = 100_000
+
+
+def numbered(samples: DataFrame) -> DataFrame:
+    """samples with row_idx: the place within their file, in the order of time unless it is known."""
+    if "row_idx" in samples.columns:
+        return samples
+    order = Window.partitionBy("patient_id", "file_ts").orderBy("ts")
+    return samples.withColumn("row_idx", F.row_number().over(order).cast("bigint") - 1)
 
 
 def timeline(samples: DataFrame) -> DataFrame:
-    """samples with global_idx: the place among all rows of the patient, files in the order of their time."""
-    order = Window.partitionBy("patient_id").orderBy("file_ts", "row_idx" if "row_idx" in samples.columns else "ts")
-    return samples.withColumn("global_idx", F.row_number().over(order).cast("bigint") - 1)
+    """samples with global_idx: the place among all rows of the patient, files in the order of their time. Only a
+    patient's files are put in order and summed; rows are numbered within their file."""
+    rows = numbered(samples)
+    files = rows.groupBy("patient_id", "file_ts").agg(F.count("*").alias("n_rows"))
+    before = F.coalesce(F.sum("n_rows").over(Window.partitionBy("patient_id").orderBy("file_ts").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = files.select("patient_id", "file_ts", before.cast("bigint").alias("cum_len"))
+    return rows.join(starts, ["patient_id", "file_ts"]).withColumn("global_idx", F.col("cum_len") + F.col("row_idx")).select(*samples.columns, "global_idx")
 
 
-def timeline_of_files(samples: DataFrame, files: DataFrame) -> DataFrame:
-    """The same where row_idx counts within a file: only the files are summed, no timeline is sorted."""
-    return samples.join(files.select("patient_id", "file_path", "cum_len"), ["patient_id", "file_path"]).withColumn("global_idx", F.col("cum_len") + F.col("row_idx"))
+def random_starts(files: DataFrame, length: int, ratio: float = 1.0, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """start_offset for each row of files (with n_rows): evenly among the starts that leave int(length * ratio) rows, 0 if
+    there are none; for extract_from_file."""
+    places = F.greatest(F.lit(0), F.col("n_rows") - int(length * ratio)) + 1
+    return files.withColumn("start_offset", F.floor(uniform(seed, "start", F.lit(epoch), F.col("patient_id"), F.col("file_path")) * places).cast("bigint"))
 
 
 def offset_file(draws: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,6 +55,8 @@ def extract(draws: DataFrame, samples: DataFrame, length: int, ratio: float = 1.
     first = F.floor(F.col("start_offset") / block)
     last = F.floor((F.col("start_offset") + raw - 1) / block)
     asked = draws.withColumn("block", F.explode(F.sequence(first, last)))
+    if asked.select("patient_id", "block").limit(FEW + 1).count() <= FEW:  # few blocks: samples stay where they are
+        asked = F.broadcast(asked)
     keyed = samples.withColumn("block", F.floor(F.col("global_idx") / block)).select("patient_id", "block", "global_idx", "ts", "x", "y", "z")
     inside = (F.col("global_idx") >= F.col("start_offset")) & (F.col("global_idx") < F.col("start_offset") + raw)
     met = asked.join(keyed, ["patient_id", "block"]).where(inside)
@@ -83,6 +102,20 @@ def batches(sequences: DataFrame, size: int, total: int) -> DataFrame:
     return grouped.select("batch_id", F.col("rows.draw_id").alias("draw_ids"), F.col("rows.patient_id").alias("patient_ids"), F.col("rows.ts").alias("ts"), F.col("rows.accel").alias("accel"))
 
 
+def model_input(sequences: DataFrame, length: int) -> DataFrame:
+    """What a model takes: patient as a number (null if it is none), patient_id_str, ts, and accel as three rows of 32-bit
+    numbers. A sequence without any row read is all zeros, in its times too."""
+    none = F.col("n_valid") == 0
+    axis = lambda c: F.when(none, F.array_repeat(F.lit(0e0), length)).otherwise(F.col(c)).cast("array<float>")
+    times = F.when(none, F.array_repeat(F.lit(0).cast("bigint"), length)).otherwise(F.col("ts"))
+    return sequences.select("draw_id", F.col("patient_id").cast("string").try_cast("bigint").alias("patient_id"), F.col("patient_id").cast("string").alias("patient_id_str"), times.alias("ts"), F.array(*map(axis, "xyz")).alias("accel"))
+
+
+def epoch_loss(losses: DataFrame) -> DataFrame:
+    """The mean of the batches' losses."""
+    return losses.agg(F.count("*").alias("n_batches"), F.avg("loss").alias("loss"))
+
+
 def batch_loss(sequences: DataFrame, size: int, total: int) -> DataFrame:
     """batch_id, loss: the mean square over all values of a batch."""
     square = lambda c: F.aggregate(c, F.lit(0e0), lambda a, v: a + v * v)

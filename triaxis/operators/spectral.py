@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..workers import send
 
+#: Longest frame whose table of sines (half its square in rows) goes to all workers.
+WIDE = 1024
 LONG = "key string, frame int, time_s double, bin int, freq_hz double, psd double"
 
 
@@ -66,7 +68,8 @@ def framed_power(cut: DataFrame, size: int, fs: float, win: str = "hann", linear
     w = kernels.window(win, size)
     basis = basis_table(spark, size, w)
     scale = F.when((F.col("bin") == 0) | (F.col("bin") * 2 == size), 1e0).otherwise(2e0) / float(fs * (w**2).sum())
-    power = cut.join(F.broadcast(basis), "k").groupBy("key", "frame", "bin").agg(F.sum(F.col("value") * F.col("c")).alias("re"), F.sum(F.col("value") * F.col("s")).alias("im"))
+    basis = F.broadcast(basis) if size <= WIDE else basis
+    power = cut.join(basis, "k").groupBy("key", "frame", "bin").agg(F.sum(F.col("value") * F.col("c")).alias("re"), F.sum(F.col("value") * F.col("s")).alias("im"))
     return power.select("key", "frame", "bin", (F.col("bin") * float(fs) / size).alias("freq_hz"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * scale).alias("psd"))
 
 
@@ -111,27 +114,28 @@ def mean_spectrum(power: DataFrame) -> DataFrame:
 
 
 def hourly_bands(samples: DataFrame, fs: float = 80, limit: int = 24, frame=(8.0, 2.0), segment=(4.0, 2.0), least_sec: float = 10.0, bands: dict | None = None) -> DataFrame:
-    """patient_id, file_ts, hour_label, band, power: mean band power of the magnitude of a patient's first `limit`
-    files; files under least_sec are left out."""
+    """patient_id, file_ts, hour_label, offset_s, band, power: mean band power of the magnitude of a patient's first
+    `limit` files; files under least_sec are left out, but count in offset_s (an hour a file)."""
     from ..functions.clock import label, seconds_of_day
     from ..functions.signal import magnitude
-
-    rank = F.dense_rank().over(Window.partitionBy("patient_id").orderBy("file_ts"))
-    some = samples.withColumn("r", rank).where(F.col("r") <= limit)
-    order = Window.partitionBy("patient_id", "file_ts").orderBy("ts")
-    whole = Window.partitionBy("patient_id", "file_ts")
-    rows = some.select("patient_id", "file_ts", magnitude(F.col("x"), F.col("y"), F.col("z")).alias("value"), F.row_number().over(order).alias("idx"), F.count("*").over(whole).alias("n")).where(F.col("n") >= fs * least_sec)
-    keyed = rows.withColumn("key", F.concat_ws("|", F.col("patient_id").cast("string"), F.date_format("file_ts", "yyyy-MM-dd HH:mm:ss")))
-    power = welch(keyed, fs, *frame, *segment)
+    from .sequences import numbered
+
+    files = samples.groupBy("patient_id", "file_ts").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("patient_id").orderBy("file_ts")) - 1
+    first = files.withColumn("offset_s", place * 3600).where((F.col("offset_s") < 3600 * limit) & (F.col("n") >= fs * least_sec)).drop("n")
+    key = F.to_json(F.struct(F.col("patient_id").cast("string").alias("p"), F.unix_micros(F.col("file_ts").cast("timestamp")).alias("t"), "offset_s"))
+    rows = numbered(samples).join(first, ["patient_id", "file_ts"])
+    power = welch(rows.select(key.alias("key"), F.col("row_idx").alias("idx"), magnitude(F.col("x"), F.col("y"), F.col("z")).alias("value")), fs, *frame, *segment)
     mean = band_power(power, bands).groupBy("key", "band").agg(F.avg("power").alias("power"))
-    ts = F.try_to_timestamp(F.split("key", r"\|")[1]).cast("timestamp_ntz")
-    return mean.select(F.split("key", r"\|")[0].alias("patient_id"), ts.alias("file_ts"), label(seconds_of_day(ts)).alias("hour_label"), "band", "power")
+    told = mean.withColumn("k", F.from_json("key", "p string, t bigint, offset_s int"))
+    ts = F.timestamp_micros("k.t").cast("timestamp_ntz")
+    return told.select(F.col("k.p").alias("patient_id"), ts.alias("file_ts"), label(seconds_of_day(ts)).alias("hour_label"), F.col("k.offset_s").alias("offset_s"), "band", "power")
 
 
 def hourly_summary(hourly: DataFrame) -> DataFrame:
-    """patient_id, band: mean, most, least, and which kept file (from 1) has the most and the least."""
+    """patient_id, band: mean, most, least, and which kept file (from 1) is the first with the most and the least."""
     place = F.dense_rank().over(Window.partitionBy("patient_id").orderBy("file_ts"))
-    return hourly.withColumn("at", place).groupBy("patient_id", "band").agg(F.avg("power").alias("mean_power"), F.max("power").alias("max_power"), F.min("power").alias("min_power"), F.max_by("at", "power").alias("peak_at"), F.min_by("at", "power").alias("low_at"))
+    return hourly.withColumn("at", place).groupBy("patient_id", "band").agg(F.avg("power").alias("mean_power"), F.max("power").alias("max_power"), F.min("power").alias("min_power"), F.max_by("at", F.struct("power", -F.col("at"))).alias("peak_at"), F.min_by("at", F.struct("power", "at")).alias("low_at"))
 
 
 def every_kth(rows: DataFrame, most: int, by: str, order: str) -> DataFrame:

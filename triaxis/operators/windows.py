@@ -27,10 +27,12 @@ def day_buckets(files: DataFrame) -> DataFrame:
     return folded.select("patient_id", F.timestamp_micros("b.at").cast("timestamp_ntz").alias("file_ts"), F.col("b.day").alias("day"))
 
 
-def statistics(samples: DataFrame, window_hours: float = 2.0, per_day: bool = False, by: tuple[str, ...] = ("patient_id",), skip_nulls: bool = False) -> DataFrame:
+def statistics(samples: DataFrame, window_hours: float = 2.0, per_day: bool = False, by: tuple[str, ...] = ("patient_id",), skip_nulls: bool = False, ratio: float = 1.0) -> DataFrame:
     """by, [day], window_start, window_end, means and population deviations of x, y, z and the magnitude. Windows
     [s, s + width) from midnight on; the last may pass 24 h. A null axis makes the window's figures NaN unless
-    skip_nulls. per_day: samples have a day."""
+    skip_nulls. per_day: samples have a day. ratio over 1: each file is resampled first."""
+    if ratio > 1:
+        samples = resample_files(samples, ratio, keep=tuple(c for c in (*by, *(["day"] if per_day else [])) if c not in ("patient_id", "file_ts")))
     width = window_hours * 3600.0
     nan = lambda c: c if skip_nulls else F.coalesce(c, F.lit(float("nan")))
     keys = [*by, *(["day"] if per_day else [])]
@@ -44,21 +46,26 @@ def statistics(samples: DataFrame, window_hours: float = 2.0, per_day: bool = Fa
 
 
 def summary(stats: DataFrame, by: str = "patient_id") -> DataFrame:
-    """Windows, first start, last end, and the least and greatest mean and deviation of the magnitude."""
+    """Windows, first start, last end, the least and greatest mean and deviation of the magnitude, and, where stats have
+    days, the first and last day."""
+    days = [F.min("day").alias("min_day"), F.max("day").alias("max_day")] if "day" in stats.columns else []
     return stats.groupBy(by).agg(
         F.count("*").alias("n_windows"),
         F.min("window_start").alias("first_start"),
         F.max("window_end").alias("last_end"),
         *[f(f"{c}_magnitude").alias(f"{n}_{c}_magnitude") for c in ("mean", "std") for n, f in (("min", F.min), ("max", F.max))],
+        *days,
     )
 
 
-def resample_files(samples: DataFrame, ratio: float) -> DataFrame:
+def resample_files(samples: DataFrame, ratio: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each file's rows at even steps, linear between neighbours: every source row gives the one target that falls
-    between it and the next, so a file takes one window and no join."""
-    group = Window.partitionBy("patient_id", "file_ts")
-    order = group.orderBy("ts")
-    rows = samples.select("patient_id", "file_ts", "ts", "x", "y", "z", (F.row_number().over(order).cast("bigint") - 1).alias("i"), F.count("*").over(group).alias("n"), *[F.lead(c).over(order).alias(f"{c}2") for c in ("ts", "x", "y", "z")])
+    between it and the next, so a file takes one window and no join. Rows go by row_idx where it is known, else by time.
+    keep: further columns, each the same in all of a file."""
+    file = ["patient_id", *(c for c in ("file_path", "file_ts") if c in samples.columns), *keep]
+    group = Window.partitionBy(*file)
+    order = group.orderBy("row_idx" if "row_idx" in samples.columns else "ts")
+    rows = samples.select(*file, "ts", "x", "y", "z", (F.row_number().over(order).cast("bigint") - 1).alias("i"), F.count("*").over(group).alias("n"), *[F.lead(c).over(order).alias(f"{c}2") for c in ("ts", "x", "y", "z")])
     rows = rows.withColumn("t", resampled_length(F.col("n"), ratio))
     i, n, t = F.col("i"), F.col("n"), F.col("t")
     j = F.when(i == n - 1, t - 1).when(t == 1, F.when(i == 0, 0).cast("bigint")).otherwise(F.ceil(i * (t - 1) / F.nullif(n - 1, F.lit(0).cast("bigint"))))
@@ -68,7 +75,7 @@ def resample_files(samples: DataFrame, ratio: float) -> DataFrame:
     mid = lambda c: F.col(c) + at * (F.coalesce(F.col(f"{c}2"), F.col(c)) - F.col(c))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).cast("double")
     ts = F.floor(micros("ts") + at * (F.coalesce(micros("ts2"), micros("ts")) - micros("ts")))
-    return rows.select("patient_id", "file_ts", "j", F.timestamp_micros(ts).cast("timestamp_ntz").alias("ts"), *[mid(c).alias(c) for c in "xyz"])
+    return rows.select(*file, "j", F.timestamp_micros(ts).cast("timestamp_ntz").alias("ts"), *[mid(c).alias(c) for c in "xyz"])
 
 
 def day_series(samples: DataFrame) -> DataFrame:
