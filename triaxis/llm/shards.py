@@ -23,7 +23,7 @@ from .common import clear
 
 SHARDS = 24
 #: Records and bytes of a bucket, on average.
-BUCKET_ROWS, BUCKET_BYTES = 4096, 16 << 20
+BUCKET_ROWS, BUCKET_BYTES = 1024, 16 << 20
 SEED = 20
 
 
