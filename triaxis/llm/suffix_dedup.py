@@ -43,7 +43,7 @@ from .common import INVERSE, byte_values, chunks, clear, materialize, mix, power
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
-BLOCK, SORTED, HELD = 1024, 8192, 20_000
+BLOCK, SORTED, HELD = 1024, 8192, 65_536
 #: Bytes of text packed together, and parsed at once.
 PACKED, PIECE = 1 << 20, 4 << 20
 #: A second hash, for whole phrases: with the trigger's own it makes 128 bits.
@@ -159,7 +159,7 @@ def packed(docs: DataFrame, text: str) -> DataFrame:
     own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text).isNull().alias("none")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
+        press, number = zstandard.ZstdCompressor(level=6).compress, TaskContext.get().partitionId() << 32
         for part, data, off in chunks(batches, "whole", PACKED):
             kept = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([number]), kept, pa.array([off.tolist()], pa.list_(pa.int64())), pa.array([press(data.tobytes())], pa.binary())], names=["pack", "kept", "offsets", "texts"])
