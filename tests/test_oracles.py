@@ -41,6 +41,6 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["stft_detrended", "hourly_band_summary", "bandpass_long", "time_warp"])
+@pytest.mark.parametrize("name", ["stft_detrended", "hourly_band_power", "hourly_band_summary", "time_warp"])
 def test_queries_without_sql_have_rows(spark, name):
     assert not entry.queries()[name](spark, SF).isEmpty()

@@ -74,6 +74,9 @@ def test_files_join_by_path_and_bad_files_are_told(spark, tree, tmp_path):
 
 
 def test_work_is_split_and_limited(spark, tree):
+    for n in (1, 4, 5, 9):
+        sizes = [r["count"] for r in recordings.split_work(recordings.catalog(spark, tree), n).groupBy("worker").count().orderBy("worker").collect()]
+        assert sizes == [6 // n + (w < 6 % n) for w in range(min(n, 6))]
     split = recordings.split_work(recordings.catalog(spark, tree), 2)
     totals = {r.worker: (r.n_files, r.bytes) for r in recordings.work_totals(split).collect()}
     assert {w: n for w, (n, _) in totals.items()} == {0: 3, 1: 3}
@@ -177,6 +180,12 @@ def test_loader(spark, tree):
     loader.update_weights(patients=spark.createDataFrame([("11", 0.0)], "patient_id string, weight double"))
     assert {r.patient_id for r in loader.draws().collect()} == {"12"} and before
     assert loader.patient_metadata().count() == 2
+    assert loader.cache_stats() == {"cached": False, "size": 0, "bytes": 0, "keys": []}
+    loader.cache_lengths()
+    held = loader.cache_stats(2)
+    assert held["cached"] and held["size"] == 6 and len(held["keys"]) == 2 and held["bytes"] > 0 and len(loader.draws().collect()) == 10
+    loader.clear_cache()
+    assert not loader.cache_stats()["cached"]
     with pytest.raises(ValueError):
         Loader(spark, files.limit(0), line)
 

@@ -57,6 +57,21 @@ class Loader:
     def __len__(self) -> int:
         return self.n_samples // self.batch_size
 
+    def cache_lengths(self) -> None:
+        """Keeps the table of files with their lengths for all draws to come."""
+        self.files = self.files.persist()
+
+    def clear_cache(self) -> None:
+        self.files = self.files.unpersist()
+
+    def cache_stats(self, first: int = 10) -> dict:
+        """Whether the files are kept, how many there are, about how many bytes they take, and the first paths or times."""
+        key = "file_path" if "file_path" in self.files.columns else "file_ts"
+        held = self.files.is_cached
+        size = self.files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() if held else 0
+        n = self.files.count() if held else 0
+        return {"cached": held, "size": n, "bytes": int(str(size)), "keys": [r[0] for r in self.files.select(key).orderBy("patient_id", key).limit(first).collect()] if held else []}
+
     def patient_metadata(self, known: DataFrame | None = None) -> DataFrame:
         """A row a patient; what is not known is null."""
         ids = self.files.select("patient_id").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from ..functions import kernels
 from . import queries as q
 
 S = """s AS (SELECT user_id AS patient_id, date_trunc('hour', ts) AS file_ts, ts, value AS x,
@@ -37,6 +37,11 @@ def cut(raw: int) -> str:
   CASE WHEN pos < {raw} - n THEN 0.57735e0 ELSE t.z END AS z FROM grid JOIN t ON t.patient_id = grid.patient_id AND t.g = start_offset + greatest(pos - ({raw} - n), 0))"""
 
 
+RESAMPLED = S + f""", l AS (SELECT patient_id, file_ts, list(x ORDER BY ts) AS lx, list(y ORDER BY ts) AS ly, list(z ORDER BY ts) AS lz, list(CAST(epoch_us(ts) AS DOUBLE) ORDER BY ts) AS lt, count(*) AS n FROM s GROUP BY 1, 2),
+ k AS (SELECT *, CASE WHEN floor(n / {q.FILE_RATIO}) > 0 THEN CAST(floor(n / {q.FILE_RATIO}) AS BIGINT) ELSE n END AS t FROM l),
+ g AS (SELECT *, unnest(range(t)) AS j FROM k),
+ p AS (SELECT *, CASE WHEN t > 1 THEN j * (n - 1) / CAST(t - 1 AS DOUBLE) ELSE 0e0 END AS p FROM g),
+ i AS (SELECT *, CAST(floor(p) AS BIGINT) AS i FROM p)"""
 TOD = "(epoch_us(ts) % 86400000000) / 1e6"
 LABEL = "printf('%02d:%02d', CAST(floor({0} / 3600) AS INTEGER), CAST(floor(({0} - 3600 * floor({0} / 3600)) / 60) AS INTEGER))"
 DAYS = FILES.replace("s AS", "RECURSIVE s AS", 1) + """, ordered AS (SELECT patient_id, file_ts, row_number() OVER (PARTITION BY patient_id ORDER BY file_ts) AS n FROM f),
@@ -81,6 +86,8 @@ def noisy(a: str) -> str:
 
 ANGLES = ", ".join(f"{f}(radians((2 * {u('angle-' + a, 'vec_id')} - 1) * 30e0)) AS {f[0]}{a}" for a in "xyz" for f in ("cos", "sin"))
 PARTS = 5
+#: As many taps as a sequence has samples.
+LONG_TAPS = ", ".join(f"({j}, {h!r})" for j, h in enumerate(kernels.bandpass_taps()[:64].tolist()))
 ORDER = ", ".join(f"{{'u': {u('channel-' + a, 'batch_id')}, 'i': {i}}}" for i, a in enumerate("xyz"))
 PART_U = " ".join(f"WHEN {i} THEN {u(f'part-{i}', 'vec_id')}" for i in range(PARTS))
 
@@ -113,13 +120,16 @@ def oracle_sql() -> dict[str, str]:
         "batch_loss": f"WITH {cut(length)} SELECT draw_id // {q.BATCH} AS batch_id, round(sum(x * x + y * y + z * z) / (3 * count(*)), 6) AS loss FROM seq WHERE draw_id // {q.BATCH} < {q.N_DRAWS // q.BATCH} GROUP BY 1",
         "window_stats_combined": f"WITH {S} {stats(7200)}",
         "window_stats_per_day": f"WITH {DAYS}, sd AS (SELECT s.*, day FROM s JOIN days USING (patient_id, file_ts)) {stats(18000, ', day', 'sd')}",
+        "epoch_loss": f"WITH {cut(length)}, b AS (SELECT draw_id // {q.BATCH} AS batch_id, sum(x * x + y * y + z * z) / (3 * count(*)) AS loss FROM seq WHERE draw_id // {q.BATCH} < {q.N_DRAWS // q.BATCH} GROUP BY 1) SELECT count(*) AS n_batches, round(avg(loss), 6) AS loss FROM b",
+        "window_stats_resampled": f"WITH {RESAMPLED}, rs AS (SELECT patient_id, make_timestamp(CAST(floor({pick('t')}) AS BIGINT)) AS ts, {pick('x')} AS x, {pick('y')} AS y, {pick('z')} AS z FROM i) {stats(7200, source='rs')}",
+        "window_days_summary": f"WITH {DAYS}, sd AS (SELECT s.*, day FROM s JOIN days USING (patient_id, file_ts)), w AS ({stats(18000, ', day', 'sd')}) SELECT patient_id, count(*) AS n_windows, min(window_start) AS first_start, max(window_end) AS last_end, min(mean_magnitude) AS min_mean_magnitude, max(mean_magnitude) AS max_mean_magnitude, min(std_magnitude) AS min_std_magnitude, max(std_magnitude) AS max_std_magnitude, CAST(min(day) AS BIGINT) AS min_day, CAST(max(day) AS BIGINT) AS max_day FROM w GROUP BY 1",
         "window_stats_summary": f"WITH {S}, w AS ({stats(7200)}) SELECT patient_id, count(*) AS n_windows, min(window_start) AS first_start, max(window_end) AS last_end, min(mean_magnitude) AS min_mean_magnitude, max(mean_magnitude) AS max_mean_magnitude, min(std_magnitude) AS min_std_magnitude, max(std_magnitude) AS max_std_magnitude FROM w GROUP BY 1",
         "day_buckets": f"WITH {DAYS} SELECT patient_id, file_ts, day FROM days",
         "time_of_day": f"WITH {S} SELECT patient_id, ts, round({TOD}, 6) AS tod, {LABEL.format('(' + TOD + ')')} AS label FROM s",
         "magnitude": f"WITH {S} SELECT patient_id, ts, round(sqrt(x * x + y * y + z * z), 6) AS m FROM s",
         "axis_mean": f"WITH {S} SELECT patient_id, ts, round((x + y + z) / 3e0, 6) AS axis_mean FROM s",
         "day_tick_labels": f"WITH {DAYS}, sd AS (SELECT s.patient_id, day, ts, row_number() OVER o - 1 AS pos, count(*) OVER (PARTITION BY s.patient_id, day) AS n FROM s JOIN days USING (patient_id, file_ts) WINDOW o AS (PARTITION BY s.patient_id, day ORDER BY ts)) SELECT patient_id, day, CAST(pos AS INTEGER) AS pos, {LABEL.format('(' + TOD + ')')} AS tick FROM sd WHERE pos % greatest(1, n // 12) = 0",
-        "resample_file": f"WITH {S}, l AS (SELECT patient_id, file_ts, list(x ORDER BY ts) AS lx, list(y ORDER BY ts) AS ly, list(z ORDER BY ts) AS lz, count(*) AS n FROM s GROUP BY 1, 2), k AS (SELECT *, CASE WHEN floor(n / {q.FILE_RATIO}) > 0 THEN CAST(floor(n / {q.FILE_RATIO}) AS BIGINT) ELSE n END AS t FROM l), g AS (SELECT *, unnest(range(t)) AS j FROM k), p AS (SELECT *, CASE WHEN t > 1 THEN j * (n - 1) / CAST(t - 1 AS DOUBLE) ELSE 0e0 END AS p FROM g), i AS (SELECT *, CAST(floor(p) AS BIGINT) AS i FROM p) SELECT patient_id, file_ts, j, round({pick('x')}, 6) AS x, round({pick('y')}, 6) AS y, round({pick('z')}, 6) AS z FROM i",
+        "resample_file": f"WITH {RESAMPLED} SELECT patient_id, file_ts, j, round({pick('x')}, 6) AS x, round({pick('y')}, 6) AS y, round({pick('z')}, 6) AS z FROM i",
         "resample_sequence": "WITH g AS (SELECT vec_id, embedding AS lx, len(embedding) AS n, unnest(range(20)) AS j FROM embeddings), p AS (SELECT *, j * (n - 1) / 19e0 AS p FROM g), i AS (SELECT *, CAST(floor(p) AS BIGINT) AS i FROM p) SELECT vec_id, CAST(j AS INTEGER) AS j, round(CAST(lx[i + 1] AS DOUBLE) + (p - i) * (CAST(lx[least(i + 2, n)] AS DOUBLE) - CAST(lx[i + 1] AS DOUBLE)), 6) AS value FROM i",
         "distinct_patients": f"WITH {DRAWS} SELECT DISTINCT patient_id FROM d",
         "patient_share": f"WITH {DRAWS} SELECT patient_id, count(*) AS n, round(100e0 * count(*) / {q.N_DRAWS}, 6) AS percent FROM d GROUP BY 1",
@@ -133,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "spectrum_db": FRAMES + " SELECT key, bin, round(10e0 * log10(avg(psd) + 1e-10), 6) AS db FROM psd GROUP BY 1, 2",
         "stft_kernel": FRAMES + f" SELECT key, frame, round(({q.SIZE / 2} + {q.STEP} * frame) / {q.FS}, 6) AS time_s, bin, round(bin * {q.FS} / {q.SIZE}, 6) AS freq_hz, round(psd, 6) AS psd FROM psd",
         "welch_kernel": WELCH,
+        "spectrogram_plain": f"WITH {SIGNAL}, n AS (SELECT key, count(*) AS n FROM sig GROUP BY 1), fr AS (SELECT key, unnest(range(CAST(floor((n - 256) / 128) AS BIGINT) + 1)) AS frame FROM n WHERE n >= 256), v AS (SELECT fr.key, frame, idx - frame * 128 AS k, value * (0.54e0 - 0.46e0 * cos(2 * pi() * (idx - frame * 128) / 255)) AS v FROM fr JOIN sig ON sig.key = fr.key AND idx >= frame * 128 AND idx < frame * 128 + 256), dft AS (SELECT key, frame, CAST(bin AS INTEGER) AS bin, sum(v * cos(2 * pi() * k * bin / 256)) AS re, sum(v * sin(2 * pi() * k * bin / 256)) AS im FROM v, range(129) b(bin) GROUP BY 1, 2, 3) SELECT key, frame, round((128 + 128 * frame) / 100e0, 6) AS time_s, bin, round(bin * 100e0 / 256, 6) AS freq_hz, round((re * re + im * im) * (CASE WHEN bin IN (0, 128) THEN 1e0 ELSE 2e0 END) / (100 * (SELECT sum(pow(0.54e0 - 0.46e0 * cos(2 * pi() * k / 255), 2)) FROM range(256) w(k))), 6) AS psd FROM dft",
         "stride_decimation": f"WITH {SIGNAL}, n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM sig) SELECT key, idx, value FROM n WHERE idx % greatest(1, n // 100) = 0",
         "aug_invert": f"WITH {AXES} SELECT vec_id, pos, round(-x, 6) AS x, round(-y, 6) AS y, round(-z, 6) AS z FROM v",
         "aug_reverse": f"WITH {AXES} SELECT vec_id, CAST(n - 1 - pos AS INTEGER) AS pos, {OUT} FROM v",
@@ -143,6 +154,5 @@ def oracle_sql() -> dict[str, str]:
         "aug_channel_shuffle": f"WITH {AXES}, o AS (SELECT *, list_transform(list_sort([{ORDER}]), lambda t: t.i) AS o, [x, y, z] AS c FROM v) SELECT vec_id, pos, round(c[o[1] + 1], 6) AS x, round(c[o[2] + 1], 6) AS y, round(c[o[3] + 1], 6) AS z FROM o",
         "aug_pipeline": f"WITH {AXES} SELECT vec_id, CAST(n - 1 - pos AS INTEGER) AS pos, round(-x, 6) AS x, round(-y, 6) AS y, round(-z, 6) AS z FROM v",
         "bandpass_fir": f"WITH a AS (SELECT vec_id, unnest(range(len(embedding))) AS pos, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, CAST(pos AS INTEGER) AS pos, round({taps}, 6) AS value FROM a",
+        "bandpass_long": f"WITH {AXES}, h AS (SELECT * FROM (VALUES {LONG_TAPS}) t(j, h)) SELECT v.vec_id, v.pos, {', '.join(f'round(sum(u.{c} * h), 6) AS {c}' for c in 'xyz')}, 256.5e0 AS delay FROM v JOIN v u ON v.vec_id = u.vec_id AND u.pos <= v.pos JOIN h ON h.j = v.pos - u.pos GROUP BY 1, 2",
     }
-
-

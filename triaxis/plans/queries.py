@@ -135,6 +135,10 @@ def batch_loss(spark, d):
     return rounded(sequences.batch_loss(padded(spark, d), BATCH, N_DRAWS), "loss")
 
 
+def epoch_loss(spark, d):
+    return rounded(sequences.epoch_loss(sequences.batch_loss(padded(spark, d), BATCH, N_DRAWS)), "loss")
+
+
 STATS = ("mean_x", "mean_y", "mean_z", "std_x", "std_y", "std_z", "mean_magnitude", "std_magnitude")
 
 
@@ -151,6 +155,16 @@ def window_stats_per_day(spark, d):
     return rounded(windows.statistics(with_days(spark, d), 5.0, per_day=True), *STATS)
 
 
+def window_stats_resampled(spark, d):
+    return rounded(windows.statistics(fixtures.samples(spark, d), 2.0, ratio=FILE_RATIO), *STATS)
+
+
+def window_days_summary(spark, d):
+    s = windows.summary(windows.statistics(with_days(spark, d), 5.0, per_day=True))
+    days = {c: F.col(c).cast("bigint") for c in ("min_day", "max_day")}
+    return rounded(s.withColumns(days), "min_mean_magnitude", "max_mean_magnitude", "min_std_magnitude", "max_std_magnitude")
+
+
 def window_stats_summary(spark, d):
     s = windows.summary(windows.statistics(fixtures.samples(spark, d), 2.0))
     return rounded(s, "min_mean_magnitude", "max_mean_magnitude", "min_std_magnitude", "max_std_magnitude")
@@ -262,7 +276,8 @@ def stft_detrended(spark, d):
 
 
 def spectrogram_plain(spark, d):
-    return spectral.spectrogram(signals(spark, d), 100.0)
+    power = spectral.spectrogram(signals(spark, d), 100.0)
+    return rounded(power.select("key", F.col("frame").cast("bigint").alias("frame"), "time_s", "bin", "freq_hz", "psd"), "time_s", "freq_hz", "psd")
 
 
 def hourly_band(spark, d):
@@ -322,7 +337,9 @@ def bandpass_fir(spark, d):
 
 
 def bandpass_long(spark, d):
-    return augment.bandpass(axes(spark, d)).select("vec_id", "x", "y", "z", "delay")
+    """The whole filter; its delay is the same for all."""
+    out = augment.bandpass(axes(spark, d))
+    return axes_long(out).join(out.select("vec_id", "delay"), "vec_id")
 
 
 def time_warp(spark, d):

@@ -123,8 +123,16 @@ def convert(spark: SparkSession, source: str, target: str) -> None:
 
 
 def split_work(files: DataFrame, workers: int) -> DataFrame:
-    """Adds worker: contiguous ranges of the files in the order of their paths, sizes one apart at most."""
-    return files.withColumn("worker", F.ntile(workers).over(Window.orderBy("file_path")) - 1)
+    """Adds worker: contiguous ranges of the files by patient and path, sizes one apart at most. Files are numbered
+    within their patient; only the patients' counts are summed in one place."""
+    at = F.row_number().over(Window.partitionBy("patient_id").orderBy("file_path")) - 1
+    counts = files.groupBy("patient_id").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("patient_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("patient_id", before.alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    place, size = F.col("before") + at, F.floor(F.col("total") / workers)
+    more = F.col("total") % workers  # workers with one file more
+    worker = F.when(F.col("place") < more * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(more + F.floor((F.col("place") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return files.join(starts, "patient_id").withColumn("place", place).withColumn("worker", worker.cast("int")).select(*files.columns, "worker")
 
 
 def limited(split: DataFrame, most: int = 5, megabytes: float = 5000.0) -> DataFrame:
