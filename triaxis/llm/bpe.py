@@ -28,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workers import send
 from .common import chunks, clear, materialize, once, text_buffer, trim, word_hashes
 
 #: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and words
 #: or tokens put together at once.
-VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 8, (32, 1 << 16), 1 << 20
+VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 4, (32, 1 << 16), 1 << 20
+#: What Spark says where it knows no size is more than this.
+UNKNOWN_SIZE = 1 << 60
 #: Endings that the tokenizer's pattern parts from the word before them.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -172,27 +175,46 @@ def list_of(rows: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
 
 
-def volumes(docs: DataFrame, text: str, config) -> DataFrame:
+def ranges_for(docs: DataFrame) -> int:
+    """Ranges of hashes, by the size that Spark expects of the rows; this deals out work and changes no result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(RANGES[1], max(RANGES[0], size // (VOLUMES * VOLUME))) if size < UNKNOWN_SIZE else RANGES[0]
+
+
+def volumes(docs: DataFrame, text: str, config, ranges: int) -> DataFrame:
     """A table of volumes: volume (its number), kept (rows without their texts), counts (words of each text), codes
-    (the words' numbers), ranks (place of each number in the order of the words' hashes), size and words (the list, in its own order)."""
+    (the words' numbers), ranks (place of each number in the order of the words' hashes) and size (distinct words); and of
+    the blocks of their lists: volume, range (null for a volume's own row) and words."""
     others = [c for c in docs.columns if c != text]
     own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
 
+    kind = T.StructType([T.StructField("volume", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("ranks", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("range", T.IntegerType()), T.StructField("words", T.BinaryType())])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = Splitter.of(config.value), TaskContext.get().partitionId() << 32
         kept, counts, found, held = [], [], [], 0
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             coded = pa.concat_arrays(found).dictionary_encode()
             words, codes = coded.dictionary, coded.indices.to_numpy()
             often = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # frequent words have small numbers
             words, codes = words.take(pa.array(often)), np.argsort(often)[codes]
             by_name = pc.sort_indices(words).to_numpy()  # names in order compress well
             words = words.take(pa.array(by_name))
+            hashed = hashes(words)
             ranks = np.empty(len(words), np.int64)
-            ranks[by_name[np.argsort(hashes(words), kind="stable")]] = np.arange(len(words))
-            columns = [pa.array([number]), list_of(pa.concat_arrays(kept)), list_of(pa.array(np.concatenate(counts))), pa.array([press(codes)], pa.binary()), pa.array([press(ranks)], pa.binary()), pa.array([len(words)], pa.int32()), list_of(words)]
-            return pa.RecordBatch.from_arrays(columns, names=["volume", "kept", "counts", "codes", "ranks", "size", "words"])
+            ranks[by_name[np.argsort(hashed, kind="stable")]] = np.arange(len(words))
+            yield batch(1, volume=pa.array([number]), kept=list_of(pa.concat_arrays(kept)), counts=list_of(pa.array(np.concatenate(counts))), codes=pa.array([press(codes)], pa.binary()), ranks=pa.array([press(ranks)], pa.binary()), size=pa.array([len(words)], pa.int32()))
+            at = (hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            words, at = words.take(pa.array(np.argsort(at, kind="stable"))), np.sort(at)
+            cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cut))
+            lists = ["\n".join(words.slice(cut[r], cut[r + 1] - cut[r]).to_pylist()).encode() for r in full.tolist()]  # no word holds a line feed
+            shrink = zstandard.ZstdCompressor(level=3).compress
+            yield batch(len(full), volume=pa.array(np.full(len(full), number)), range=pa.array(full.astype(np.int32)), words=pa.array([shrink(x) for x in lists], pa.binary()))
+
+        def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, to_arrow_type(f.dataType)) for f in kind], names=kind.names)
 
         for part, data, _ in chunks(batches, "whole"):
             words, count = own.split(part.column(1).to_pylist())
@@ -201,12 +223,11 @@ def volumes(docs: DataFrame, text: str, config) -> DataFrame:
             found.append(words)
             held += len(data) + 64 * part.num_rows
             if held >= VOLUME:
-                yield out()
+                yield from out()
                 kept, counts, found, held, number = [], [], [], 0, number + 1
         if kept:
-            yield out()
+            yield from out()
 
-    kind = T.StructType([T.StructField("volume", T.LongType()), T.StructField("kept", T.ArrayType(own.schema["kept"].dataType)), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("ranks", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
     return materialize(own.mapInArrow(build, kind))
 
 
@@ -215,22 +236,9 @@ def hashes(words: pa.Array) -> np.ndarray:
     return word_hashes(data, off[:-1], off[1:])
 
 
-def encoded(held: DataFrame, config) -> DataFrame:
+def encoded(blocks: DataFrame, config, ranges: int) -> DataFrame:
     """(of, range, sizes, ids): for each volume and range of hashes the ids of its words, in the order of hashes, and
     how many each has."""
-    ranges = min(RANGES[1], max(RANGES[0], held.count() // VOLUMES))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = batch.column(1)[i].values
-                at = (hashes(words) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-                words, at = words.take(pa.array(np.argsort(at, kind="stable"))), np.sort(at)
-                cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cut))
-                lists = ["\n".join(words.slice(cut[r], cut[r + 1] - cut[r]).to_pylist()).encode() for r in full.tolist()]  # no word holds a line feed
-                shrink = zstandard.ZstdCompressor(level=3).compress
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), batch.column(0)[i].as_py())), pa.array(full.astype(np.int32)), pa.array([shrink(x) for x in lists], pa.binary())], names=["of", "range", "words"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, expand = Splitter.of(config.value), zstandard.ZstdDecompressor().decompress
@@ -251,7 +259,7 @@ def encoded(held: DataFrame, config) -> DataFrame:
         known = {}
         trim()
 
-    dealt = held.select("volume", "words").mapInArrow(deal, "of long, range int, words binary").repartition(ranges, "range").sortWithinPartitions("range")
+    dealt = blocks.repartition(ranges, "range").sortWithinPartitions("range")
     return dealt.mapInArrow(encode, "of long, range int, sizes binary, ids binary")
 
 
@@ -275,7 +283,10 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
     send(spark)
     config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
     others = clear(docs.select([c for c in docs.columns if c != text]), "ids").columns
-    held = volumes(docs, text, config)
+    ranges = ranges_for(docs)
+    table = volumes(docs, text, config, ranges)
+    held = table.where("range is null").drop("range", "words")
+    blocks = table.where("range is not null").select(F.col("volume").alias("of"), "range", "words")
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
         parts, right = [], right.sort_by("range")
@@ -300,7 +311,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
         return pa.concat_tables(parts)
 
     # both sides by volume: a task holds one volume and the ids of its list
-    both = held.drop("words").groupBy("volume").cogroup(encoded(held, config).groupBy("of"))
+    both = held.groupBy("volume").cogroup(encoded(blocks, config, ranges).groupBy("of"))
     out = both.applyInArrow(back, T.StructType([T.StructField("kept", held.schema["kept"].dataType.elementType), T.StructField("ids", T.BinaryType())]))
     return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(others)], "ids")
 
