@@ -379,6 +379,23 @@ def test_suffixes_of_hosts(spark):
     assert [(r.d, r.s) for r in df.collect()] == want
 
 
+def test_hot_keys_join_by_broadcast(spark, monkeypatch):
+    """Rows of hot and other keys, of keys that the table lacks, and null keys."""
+    monkeypatch.setattr(common, "HOT_KEYS", 1)
+    rows = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1), ("c", 1), (None, 1)], "k string, v int")
+    table = spark.createDataFrame([("a", 9, "x"), ("b", 1, "y"), (None, 1, "z")], "k string, n int, w string")
+    got = sorted((r.k or "", r.v, r.w) for r in common.join_hot(rows, table, ["k"], "n").select("k", "v", "w").collect())
+    assert got == [("", 1, None)] + [("a", i, "x") for i in range(9)] + [("b", 1, "y"), ("c", 1, None)]
+
+
+def test_released_tables_are_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    table = common.materialize(spark.range(5))
+    assert table.count() == 5 and list((tmp_path / "shared").rglob("*.parquet"))
+    common.release(spark)
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Null, empty and repeated rows, null and repeated ids, clashing columns, and empty tables."""
     long_ = prose(300, 3)

@@ -3,7 +3,7 @@
 Texts are split into words once. Texts of about `VOLUME` bytes make a volume, whose words become numbers of its own
 list of distinct words. The table of distinct words is dealt out by ranges of the words' hashes: each volume sends
 one block of its list to each range, where every distinct word is encoded once. A block's ids go back to its volume in
-the order of hashes, so they join the numbers by position, and the texts' numbers are replaced by them. What is
+the order of the block, so they join the numbers by position, and the texts' numbers are replaced by them. What is
 shuffled are compressed lists of distinct words, never the words of the texts; the most frequent word stands once a
 volume. Decoding joins each id with the vocabulary's table of pieces, which has one row an id and goes to all workers.
 
@@ -30,14 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..workers import send
-from .common import chunks, clear, materialize, once, text_buffer, trim, word_hashes
+from .common import chunks, clear, expected_bytes, materialize, once, ready, text_buffer, trim, word_hashes
 
 #: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and words
 #: or tokens put together at once.
 VOLUME, VOLUMES, RANGES, DECODED = 16 << 20, 4, (32, 1 << 16), 1 << 20
-#: What Spark says where it knows no size is more than this.
-UNKNOWN_SIZE = 1 << 60
 #: Endings that the tokenizer's pattern parts from the word before them.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 
@@ -175,15 +172,9 @@ def list_of(rows: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
 
 
-def ranges_for(docs: DataFrame) -> int:
-    """Ranges of hashes, by the size that Spark expects of the rows; this deals out work and changes no result."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(RANGES[1], max(RANGES[0], size // (VOLUMES * VOLUME))) if size < UNKNOWN_SIZE else RANGES[0]
-
-
 def volumes(docs: DataFrame, text: str, config, ranges: int) -> DataFrame:
     """A table of volumes: volume (its number), kept (rows without their texts), counts (words of each text), codes
-    (the words' numbers), ranks (place of each number in the order of the words' hashes) and size (distinct words); and of
+    (the words' numbers), ranks (place of each number in the order of ranges, then names) and size (distinct words); and of
     the blocks of their lists: volume, range (null for a volume's own row) and words."""
     others = [c for c in docs.columns if c != text]
     own = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(True).alias("one")).alias("kept"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
@@ -201,12 +192,12 @@ def volumes(docs: DataFrame, text: str, config, ranges: int) -> DataFrame:
             words, codes = words.take(pa.array(often)), np.argsort(often)[codes]
             by_name = pc.sort_indices(words).to_numpy()  # names in order compress well
             words = words.take(pa.array(by_name))
-            hashed = hashes(words)
+            at = (hashes(words) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            order = np.argsort(at, kind="stable")  # by range, then by name
+            words, at = words.take(pa.array(order)), at[order]
             ranks = np.empty(len(words), np.int64)
-            ranks[by_name[np.argsort(hashed, kind="stable")]] = np.arange(len(words))
+            ranks[by_name[order]] = np.arange(len(words))
             yield batch(1, volume=pa.array([number]), kept=list_of(pa.concat_arrays(kept)), counts=list_of(pa.array(np.concatenate(counts))), codes=pa.array([press(codes)], pa.binary()), ranks=pa.array([press(ranks)], pa.binary()), size=pa.array([len(words)], pa.int32()))
-            at = (hashed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            words, at = words.take(pa.array(np.argsort(at, kind="stable"))), np.sort(at)
             cut = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             lists = ["\n".join(words.slice(cut[r], cut[r + 1] - cut[r]).to_pylist()).encode() for r in full.tolist()]  # no word holds a line feed
@@ -237,8 +228,8 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 
 def encoded(blocks: DataFrame, config, ranges: int) -> DataFrame:
-    """(of, range, sizes, ids): for each volume and range of hashes the ids of its words, in the order of hashes, and
-    how many each has."""
+    """(of, range, sizes, ids): for each volume and range of hashes the ids of its words, in the order of the block,
+    and how many each has."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, expand = Splitter.of(config.value), zstandard.ZstdDecompressor().decompress
@@ -252,7 +243,7 @@ def encoded(blocks: DataFrame, config, ranges: int) -> DataFrame:
                 words = expand(data).decode().split("\n")
                 new = [w for w in words if w not in known]
                 known.update(zip(new, own.encode(new)))
-                found = [known[words[i]] for i in np.argsort(hashes(pa.array(words, pa.string())), kind="stable")]
+                found = [known[w] for w in words]
                 out.append((press(np.array([len(x) // 4 for x in found])), press(np.frombuffer(b"".join(found), "<u4"))))
             sizes, ids = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["of", "range", "sizes", "ids"])
@@ -280,10 +271,10 @@ def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
     """Adds `ids` (binary: little-endian unsigned 32-bit integers) to every row; `text` is left out."""
     spark = docs.sparkSession
-    send(spark)
+    ready(spark)
     config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
     others = clear(docs.select([c for c in docs.columns if c != text]), "ids").columns
-    ranges = ranges_for(docs)
+    ranges = min(RANGES[1], max(RANGES[0], expected_bytes(docs) // (VOLUMES * VOLUME)))
     table = volumes(docs, text, config, ranges)
     held = table.where("range is null").drop("range", "words")
     blocks = table.where("range is not null").select(F.col("volume").alias("of"), "range", "words")
@@ -327,7 +318,7 @@ def piece_table(config: str) -> pa.Array:
 def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Replaces `ids` by the text of its pieces, one blank between two; special tokens are kept."""
     spark = rows.sparkSession
-    send(spark)
+    ready(spark)
     table = spark.sparkContext.broadcast(piece_table(read_config(spark, tokenizer_path)))
     others = [c for c in rows.columns if c != ids]
     names = clear(rows.select(others), to).columns

@@ -37,8 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workers import send
-from .common import BASE, LOWER, chunks, join_hot, materialize, mix, once, trim, word_hashes, word_spans
+from .common import BASE, LOWER, chunks, expected_bytes, join_hot, materialize, mix, once, ready, trim, word_hashes, word_spans
 
 N, PERCENT = 5, 80
 #: Shingles known as frequent at most; from how many documents on a shingle is; shingles packed at once.
@@ -47,6 +46,8 @@ MAX_FREQUENT, FREQUENT, PACKED = 100_000, 48, 1 << 19
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 FLAG = np.uint32(1 << 31)
+#: Bytes of input whose heads a task takes, where there are more tasks than usual.
+DEALT = 32 << 20
 #: Cells whose parities bound the overlap of two sets.
 BITS = 512
 
@@ -93,7 +94,8 @@ def heads(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """kind 0: (reference k, v head shingles that stand in other documents too), kind 1: (frequent shingle k, v
     documents), kind 2: (key k, size v, set hash a and b, reference ref)."""
     spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    usual, wanted = int(spark.conf.get("spark.sql.shuffle.partitions")), expected_bytes(docs) // DEALT
+    buckets = max(64, 4 * usual, 4 * wanted)
     ref = F.xxhash64(key).bitwiseAND((1 << 31) - 1)
     own = docs.select(F.col(key).cast("long").alias("k"), ref.alias("ref"), F.col(text).alias("whole"))
     packed = "bucket int, tokens binary, refs binary, k long, v long, a long, b long, ref long"
@@ -185,7 +187,8 @@ def heads(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
             yield rows(0, who, np.bincount(back, np.concatenate([s[1] for s in shared]), len(who)).astype(np.int64))
         trim()
 
-    dealt = own.mapInArrow(map_side, packed).repartition(F.col("bucket"))
+    found = own.mapInArrow(map_side, packed)
+    dealt = found.repartition(wanted, "bucket") if wanted > usual else found.repartition("bucket")
     return materialize(dealt.mapInArrow(meet, "kind int, k long, v long, a long, b long, ref long"))
 
 
@@ -371,7 +374,7 @@ def classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row of docs."""
-    send(docs.sparkSession)
+    ready(docs.sparkSession)
     found = heads(docs, key, text, percent)
     rows = found.where("kind = 2").select(F.col("k").alias(key), F.col("v").alias("n"), "a", "b", "ref")
     least = rows.where((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("a", "b", "n").agg(F.min(key).alias("sid"), F.count("*").alias("copies"))

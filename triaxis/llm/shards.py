@@ -50,16 +50,16 @@ def fisher_yates(n: Column, seed: int, *place: Column) -> Column:
 def scatter(rows: DataFrame, key: str, n: int, seed: int, bucket_rows: int, bucket_bytes: int) -> DataFrame:
     """The first pass: shard, bucket, record."""
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8).cast("long") for f in rows.schema]
-    alike = rows.select("*", F.xxhash64(*rows.columns, F.lit(seed + 1)).alias("h__"))
+    alike = rows.select(F.struct(*rows.columns).alias("record"), F.xxhash64(*rows.columns, F.lit(seed + 1)).alias("h"))
     size = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (n * bucket_rows)), F.ceil(F.coalesce(F.sum(sum(wide[1:], wide[0])), F.lit(0)) / (n * bucket_bytes))).alias("buckets"))
-    often = alike.groupBy("h__").agg(F.count("*").alias("c")).where(F.col("c") > bucket_rows).select("h__")
-    few = alike.join(often, "h__", "left_anti").withColumn("i__", F.lit(0).cast("long"))
-    many = alike.join(often, "h__", "left_semi").groupBy(*alike.columns).agg(F.count("*").alias("c__"))
-    many = many.withColumn("k__", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c__") - 1) / bucket_rows)))).repartition("h__", "k__")
-    last = F.least(F.col("c__"), (F.col("k__") + 1) * bucket_rows) - 1
-    many = many.withColumn("i__", F.explode(F.sequence(F.col("k__") * bucket_rows, last))).select(few.columns)
-    bucket = F.pmod(F.xxhash64("h__", "i__", F.lit(seed + 1)), size.scalar()).cast("int")
-    return few.unionByName(many).select(shard_of(F.col(key), n, seed).alias("shard"), bucket.alias("bucket"), F.struct(*rows.columns).alias("record"))
+    often = alike.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > bucket_rows).select("h")
+    few = alike.join(often, "h", "left_anti").select("record", "h", F.lit(0).cast("long").alias("i"))
+    many = alike.join(often, "h", "left_semi").groupBy("record", "h").agg(F.count("*").alias("c"))
+    many = many.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / bucket_rows)))).repartition("h", "k")
+    last = F.least(F.col("c"), (F.col("k") + 1) * bucket_rows) - 1
+    many = many.select("record", "h", F.explode(F.sequence(F.col("k") * bucket_rows, last)).alias("i"))
+    bucket = F.pmod(F.xxhash64("h", "i", F.lit(seed + 1)), size.scalar()).cast("int")
+    return few.unionByName(many).select(shard_of(F.col(f"record.`{key}`"), n, seed).alias("shard"), bucket.alias("bucket"), "record")
 
 
 def buckets(rows: DataFrame, key: str, n: int, seed: int, bucket_rows: int, bucket_bytes: int) -> DataFrame:
