@@ -13,8 +13,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import send
+
 #: Text handled at once inside a Python worker, in bytes (a longer text is handled alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+
+#: Rows of an Arrow batch, so that texts of any length keep batches small.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends this package to the workers, and keeps Arrow batches small unless the session says how large they are."""
+    send(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+#: Folders of local sessions that name none.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,8 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="triaxis-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="triaxis-"))
     return f"{where.rstrip('/')}/triaxis-{spark.sparkContext.applicationId}"
 
 
@@ -71,6 +87,16 @@ def apart(docs: DataFrame, text: str) -> tuple[DataFrame, Callable[..., DataFram
     return own, together
 
 
+#: Spark says this or more of rows whose size it does not know.
+UNKNOWN_SIZE = 1 << 60
+
+
+def expected_bytes(rows: DataFrame) -> int:
+    """The size that Spark expects of the rows, 0 if it has no idea; only to deal out work."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_SIZE else 0
+
+
 #: Keys whose rows are joined without a shuffle.
 HOT_KEYS = 1000
 

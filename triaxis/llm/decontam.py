@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workers import send
-from .common import LOWER, apart, chunks, materialize, once, text_buffer, word_hashes, word_spans
+from .common import LOWER, apart, chunks, materialize, once, ready, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -206,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """Adds n_words, hits (array of the first word and the word after each hit stretch), items (sorted, distinct) and
     longest (of each of these items the longest verbatim match: item, at, item_at and words, counted in words); `text` stays unless told otherwise."""
     spark = docs.sparkSession
-    send(spark)
+    ready(spark)
     longest = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), *[T.StructField(f, T.LongType()) for f in ("at", "item_at", "words")]]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("longest", longest)]
     own, together = apart(docs, text)

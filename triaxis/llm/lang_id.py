@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workers import send
-from .common import apart, chunks, materialize, once
+from .common import apart, chunks, materialize, once, ready
 
 ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 16_384
@@ -144,7 +143,7 @@ def predict(docs: DataFrame, models: list[Model], text: str = "text", keep_text:
     """Adds lang_pred, score (the posterior of that language, all equally likely before) and bits (the
     code length under it); `text` stays unless told otherwise."""
     spark = docs.sparkSession
-    send(spark)
+    ready(spark)
     own, together = apart(docs, text)
     told = [T.StructField("lang", T.StringType()), T.StructField("all", T.DoubleType()), T.StructField("least", T.DoubleType())]
     found = own.withColumns({"lang": F.lit(None).cast("string"), "all": F.lit(0.0), "least": F.lit(float("inf"))})

@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workers import send
-from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums, trim
+from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums, ready, trim
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
@@ -308,7 +307,7 @@ def dedup(docs: DataFrame, text: str = "text", span: int = SPAN, block: int = BL
     """Adds removed (first byte, byte after, ... of each maximal run cut out), kept_bytes (binary: what remains)
     and n_bytes; `text` is left out. as_text: kept_text in place of kept_bytes (null for a null text), without the
     rests of characters that a cut splits."""
-    send(docs.sparkSession)
+    ready(docs.sparkSession)
     remains = T.StructField("kept_text", T.StringType()) if as_text else T.StructField("kept_bytes", T.BinaryType())
     own = [T.StructField("removed", T.ArrayType(T.IntegerType())), remains, T.StructField("n_bytes", T.LongType())]
     others = [c for c in clear(docs.select([c for c in docs.columns if c != text]), *[f.name for f in own]).columns]

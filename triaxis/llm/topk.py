@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..workers import send
-from .common import once
+from .common import once, ready
 
 #: Bytes of the queries handed out at once, candidates scored at once.
 QUERY_BYTES = 16 << 20
@@ -106,7 +105,7 @@ class Best:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), key and score of the k best candidates of every query."""
     spark = vectors.sparkSession
-    send(spark)
+    ready(spark)
     rows = vectors.where(usable(vector)).select(F.col(key).alias("id"), scaled(vector, scale).alias("v"), is_query.alias("asks"))
     asking = rows.where("asks and id is not null").groupBy("id").agg(F.min("v").alias("v"))
     size = asking.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()

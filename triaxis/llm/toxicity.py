@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..workers import send
-from .common import LOWER, apart, chunks, once, text_buffer, word_hashes, word_spans
+from .common import LOWER, apart, chunks, once, ready, text_buffer, word_hashes, word_spans
 from .decontam import IS_WORD
 from .jaccard import shingle_sets
 
@@ -244,7 +243,7 @@ class Index:
 def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
     """The number of texts, and how many of all texts hold each term."""
     spark = docs.sparkSession
-    send(spark)
+    ready(spark)
     shared, token = spark.sparkContext.broadcast(terms_), uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +271,7 @@ def document_counts(docs: DataFrame, terms_: np.ndarray, text: str = "text") ->
 def unlike(rows: DataFrame, seen: dict[int, Seen]) -> DataFrame:
     """The rows (texts t with labels y) that are no near copy of an example kept for their label."""
     spark = rows.sparkSession
-    send(spark)
+    ready(spark)
     shared, token = spark.sparkContext.broadcast(seen), uuid.uuid4().hex
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, index: Index | None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds score and evidence (ids of the nearest examples); `text` stays unless told otherwise."""
     spark = docs.sparkSession
-    send(spark)
+    ready(spark)
     shared, token = spark.sparkContext.broadcast(index), uuid.uuid4().hex
     own, together = apart(docs, text)
     evidence = T.ArrayType(index.kind if index else T.LongType())
