@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks, clear, expected_bytes, materialize, once, ready, text_buffer, trim, word_hashes
+from .common import chunks, clear, expected_bytes, forget, materialize, once, ready, text_buffer, trim, word_hashes
 
 #: Bytes of text whose words share a list, volumes for each range of hashes, ranges at least and most, and words
 #: or tokens put together at once.
@@ -49,11 +49,13 @@ class Splitter:
     def __init__(self, config: str) -> None:
         from tokenizers import Tokenizer
 
+        model = json.loads(config)
+        self.special = [x["content"] for x in model["added_tokens"]]
+        if not model["model"]["vocab"]:
+            config = json.dumps(model | {"added_tokens": []})
         self.tokenizer = Tokenizer.from_str(config)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        model = json.loads(config)
-        self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.by_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.kind = np.full(0xD7A5, self.UNSAFE, np.uint8)  # the last stands for all characters beyond
         for c in regex.findall(f"[{self.SAFE}]", "".join(map(chr, range(0xD7A4)))):
@@ -157,6 +159,12 @@ def read_config(spark, path: str) -> str:
         return f.read()
 
 
+def without_model(config: str) -> str:
+    """A tokenizer's JSON with all that splits texts but without its vocabulary, which takes most of its memory."""
+    own = json.loads(config)
+    return json.dumps(own | {"model": own["model"] | {"vocab": {}, "merges": []}})
+
+
 def press(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit integers, compressed byte by byte."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -272,14 +280,16 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
     """Adds `ids` (binary: little-endian unsigned 32-bit integers) to every row; `text` is left out."""
     spark = docs.sparkSession
     ready(spark)
-    config = spark.sparkContext.broadcast(read_config(spark, tokenizer_path))
+    full = read_config(spark, tokenizer_path)
+    config, light = spark.sparkContext.broadcast(full), spark.sparkContext.broadcast(without_model(full))
     others = clear(docs.select([c for c in docs.columns if c != text]), "ids").columns
     ranges = min(RANGES[1], max(RANGES[0], expected_bytes(docs) // (VOLUMES * VOLUME)))
-    table = volumes(docs, text, config, ranges)
+    table = volumes(docs, text, light, ranges)
     held = table.where("range is null").drop("range", "words")
     blocks = table.where("range is not null").select(F.col("volume").alias("of"), "range", "words")
 
     def back(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()
         parts, right = [], right.sort_by("range")
         many = np.concatenate([np.zeros(0, np.uint32), *[unpress(x) for x in right["sizes"].to_pylist()]]).astype(np.int64)
         ids = np.concatenate([np.zeros(0, np.uint32), *[unpress(x) for x in right["ids"].to_pylist()]])
@@ -324,6 +334,7 @@ def decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", to: str = "de
     names = clear(rows.select(others), to).columns
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         piece = table.value
         for batch in batches:
             every, first = binary_parts(batch.column(1))

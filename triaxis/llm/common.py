@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="triaxis-"))
+        own = spark.sparkContext.applicationId
+        where = _local[own] = _local.get(own) or "file://" + tempfile.mkdtemp(prefix="triaxis-")
     return f"{where.rstrip('/')}/triaxis-{spark.sparkContext.applicationId}"
 
 
@@ -159,11 +160,17 @@ except (OSError, AttributeError):  # another C library
 _once: dict[str, tuple[str, object]] = {}
 
 
+def forget() -> None:
+    """Drops what a worker kept for an earlier step."""
+    if _once:
+        _once.clear()
+        trim()
+
+
 def once(kind: str, token: str, make):
     """What make() gives, kept by a worker until it is asked for another token or kind."""
     if kind not in _once or _once[kind][0] != token:
-        _once.clear()
-        trim()
+        forget()
         _once[kind] = (token, make())
     return _once[kind][1]
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, LOWER, chunks, expected_bytes, join_hot, materialize, mix, once, ready, trim, word_hashes, word_spans
+from .common import BASE, LOWER, chunks, expected_bytes, forget, join_hot, materialize, mix, once, ready, trim, word_hashes, word_spans
 
 N, PERCENT = 5, 80
 #: Shingles known as frequent at most; from how many documents on a shingle is; shingles packed at once.
@@ -121,6 +121,7 @@ def heads(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         yield batch(len(full), bucket=full, tokens=[six[cut[b] : cut[b + 1]].tobytes() for b in full], refs=[refs[cut[b] : cut[b + 1]].tobytes() for b in full])
 
     def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
         held_refs: list[np.ndarray] = []
         n = turn = 0
@@ -143,6 +144,7 @@ def heads(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
             yield from pack(np.concatenate(held), np.concatenate(held_refs), turn)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tokens, refs = [], []
         shared: list[tuple[np.ndarray, np.ndarray]] = []
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import INVERSE, byte_values, chunks, clear, materialize, mix, powers, prefix_sums, ready, trim
+from .common import INVERSE, byte_values, chunks, clear, forget, materialize, mix, powers, prefix_sums, ready, trim
 
 SPAN, K = 200, 64
 #: Different phrases of one trigger in a block; phrases sorted together; phrases that a task holds to count equal ones.
@@ -184,6 +184,7 @@ def find_runs(packs: DataFrame, span: int, block: int) -> DataFrame:
             yield at + lo, gram, first + lo, last + lo, cut.view(np.int64)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, np.ndarray]]:
+        forget()
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
