@@ -19,15 +19,16 @@ from ..workers import send
 CHUNK_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch, so that texts of any length keep batches small.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, so that texts of any length keep batches small (a longer text is one by itself).
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ready(spark: SparkSession) -> None:
     """Sends this package to the workers, and keeps Arrow batches small unless the session says how large they are."""
     send(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in SMALL_BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 #: Folders of local sessions that name none.
