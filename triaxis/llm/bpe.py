@@ -15,6 +15,7 @@ empty table.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -47,6 +48,7 @@ class Splitter:
     BLANK, LETTER, NUMBER, OTHER, UNSAFE = range(5)
 
     def __init__(self, config: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would keep memory of their own
         from tokenizers import Tokenizer
 
         model = json.loads(config)
@@ -255,8 +257,8 @@ def encoded(blocks: DataFrame, config, ranges: int) -> DataFrame:
                 out.append((press(np.array([len(x) // 4 for x in found])), press(np.frombuffer(b"".join(found), "<u4"))))
             sizes, ids = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["of", "range", "sizes", "ids"])
-        known = {}
-        trim()
+        known, own = {}, None
+        forget()
 
     dealt = blocks.repartition(ranges, "range").sortWithinPartitions("range")
     return dealt.mapInArrow(encode, "of long, range int, sizes binary, ids binary")
