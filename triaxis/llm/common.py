@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -151,6 +154,35 @@ def trim() -> None:
         _libc.malloc_trim(0)
 
 
+#: Bytes by which the driver's heap grows until it is collected, and its size after that by application.
+GROWN = 64 << 20
+_heap: dict[str, int] = {}
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """The same for the driver. A table that is written leaves plans, broadcasts and shuffle files as garbage; and what
+    the JVM's many threads free natively stays with the C library, outside the heap and without a limit. False if
+    this JVM can't be asked to give the latter back."""
+    jvm, array, own = spark._jvm, spark.sparkContext._gateway.new_array, spark.sparkContext.applicationId
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > _heap.get(own, 0) + GROWN:
+        gc.collect()  # of Python's hold on objects of the JVM
+        jvm.java.lang.System.gc()
+        _heap[own] = heap.totalMemory()
+    trim()
+    named = jvm.java.lang.Class.forName
+    try:
+        kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface, as the class of the server is not open to reflection
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 try:
     _libc = ctypes.CDLL(None)
     _libc.malloc_trim
